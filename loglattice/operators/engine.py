@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.masking import mask_hmac, mask_value, normalize_action
 from loglattice.functions.timefmt import normalize_timestamp
-from loglattice.functions.typecheck import check_type, dateutil_accepts
+from loglattice.functions.typecheck import KNOWN_TYPES, check_type, dateutil_accepts
 from loglattice.operators.parsers import parser_for
 from loglattice.operators.parsers.registry import absent
 from loglattice.operators.rules import Rule
+from loglattice.session import settle
 
 # Canonical groups and their fields.
 CANONICAL = {
@@ -138,11 +139,13 @@ class RuleSet:
     def parser_error(self, rule: Rule) -> Column:
         return parser_for(rule).error(F.col(self.slot(rule)), rule)
 
-    def violation(self, values: Column, fields: Column, missing_names: Column) -> Column:
+    def violation(self, values: Column, fields: Column, missing_names: Column, rules: list[Rule]) -> Column:
         """Validation error text: required fields first, then types in constraint order; null if none.
 
-        ``missing_names`` is the literal list of required fields of the row's rule.
+        ``missing_names`` is the literal list of required fields of the row's rule; ``rules`` are
+        the rules the row may have (only their constraint types are compiled).
         """
+        used = {name.lower() for rule in rules for name in rule.type_constraints.values()}
         cells = F.zip_with(values, fields, lambda v, f: F.struct(
             v["value"].alias("value"), v["kind"].alias("kind"), v["present"].alias("present"),
             f["target"].alias("target"), f["type"].alias("type"), f["rank"].alias("rank"),
@@ -153,10 +156,11 @@ class RuleSet:
 
         def wrong(c):
             good, kind_name = F, F.lower(c["type"])
-            for name in ("int", "integer", "float", "ip", "boolean"):
-                good = good.when(kind_name == name, check_type(c["value"], c["kind"], name))
-            if self.datetime_mode == "native":
-                good = good.when(kind_name == "datetime", check_type(c["value"], c["kind"], "datetime"))
+            for name in sorted(used.intersection(KNOWN_TYPES)):
+                if name != "datetime" or self.datetime_mode == "native":
+                    good = good.when(kind_name == name, check_type(c["value"], c["kind"], name))
+            if good is F:
+                return F.lit(False)
             return c["present"] & c["type"].isNotNull() & ~F.coalesce(good.otherwise(F.lit(True)), F.lit(False))
 
         def message(c):
@@ -206,8 +210,8 @@ class RuleSet:
                 "_parse_error": self.literal_by_rule(rule_of, self.parser_error),
             }
         )
-        error = F.coalesce(F.col("_parse_error"), self.violation(F.col("_values"), F.col("_fields"), F.col("_needed")))
-        df = df.withColumn("_error", error)
+        error = F.coalesce(F.col("_parse_error"), self.violation(F.col("_values"), F.col("_fields"), F.col("_needed"), self.rules))
+        df = df.withColumn("_error", settle(error))
         if self.datetime_mode == "exact":
             df = self._exact_dates(df)
         return df.drop(*self.slots, "_needed", "_parse_error")
@@ -241,18 +245,19 @@ class RuleSet:
         if not self.rules:
             return df.withColumn(out, F.lit(None).cast("string"))
         df = self.prepare(df, raw, None)
-        for i, rule in enumerate(self.rules):
-            df = df.withColumn(f"_v{i}", F.when(self.parser_error(rule).isNull(), self.values(rule)))
+        df = df.withColumns(
+            {f"_v{i}": F.when(self.parser_error(rule).isNull(), self.values(rule)) for i, rule in enumerate(self.rules)}
+        )
         passes = []
         for i, rule in enumerate(self.rules):
             cells = F.col(f"_v{i}")
-            good = cells.isNotNull() & self.violation(cells, fields_of(rule), self._required(rule)).isNull()
+            good = cells.isNotNull() & self.violation(cells, fields_of(rule), self._required(rule), [rule]).isNull()
             if tenant:
                 good = good & (F.col(tenant) == rule.tenant_id)
             if self.require_evidence and not rule.required_fields:
                 good = good & F.exists(cells, lambda c: c["present"])
             passes.append(F.when(good, F.lit(rule.rule_version_id)))
-        return df.select(*before, F.coalesce(*passes).alias(out))
+        return df.select(*before, settle(F.coalesce(*passes)).alias(out))
 
     def annotate(self, df: DataFrame, version: str, namespace: str) -> DataFrame:
         """Add ``_entries``: one annotated cell per target, for rows with a rule and no error."""

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loglattice.functions.text import STRIP_CHARS
 from loglattice.operators.rules import Rule
 
 
@@ -43,10 +44,6 @@ def parser_for(rule: Rule) -> Parser:
 
 # --- shared column helpers --------------------------------------------------
 
-# White space stripped around keys and values.
-STRIP_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 def strip(text: Column, chars: str = STRIP_CHARS) -> Column:
     return F.trim(text, F.lit(chars))
 

@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loglattice.functions.text import _UNI_SPACE
 from loglattice.operators.parsers.registry import Parser, found, last_value, register_parser
 
-# Fixed value: message prefix.
+# Messages.
 BAD_XML = "Failed to parse XML: "
+NOT_XML = BAD_XML + "syntax error: line 1, column 0"
 
 SCHEMA = "error string, root string, pairs array<struct<k:string,v:string>>"
 
@@ -48,7 +50,11 @@ def _read(texts: pd.Series) -> pd.DataFrame:
 
 
 def xml_pairs(raw: Column) -> Column:
-    return F.pandas_udf(_read, SCHEMA)(raw)
+    """Lines whose first character cannot start a document get the reader's own error without Python."""
+    hopeless = F.rlike(raw, F.lit(rf"^[^<{_UNI_SPACE}\ufeff]"))
+    read = F.pandas_udf(_read, SCHEMA)(F.when(~hopeless, raw))
+    error = F.when(hopeless, NOT_XML).otherwise(read["error"])
+    return F.struct(error.alias("error"), read["root"].alias("root"), read["pairs"].alias("pairs"))
 
 
 def _value(prepared: Column, rule, key: str) -> Column:

@@ -9,21 +9,23 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.text import fingerprint
 from loglattice.operators.engine import RuleSet
+from loglattice.operators.lock import rule_lock
 from loglattice.operators.matching import (
     bind_fingerprint, discovery_timeline, first_passes, match_by_fingerprint, processed_ids, skip_processed,
 )
 from loglattice.operators.normalize import normalize, vendor_namespace
-from loglattice.session import cut_lineage, lookup_join
+from loglattice.session import cut_lineage, lookup_join, settle
 
 DEFAULT_TENANT = "default"
 
 
 @dataclass
 class BatchResult:
-    """Outcome rows, and the bindings that discovery added in this batch."""
+    """Outcome rows, the bindings that discovery added, and the lock decisions if a lock ran."""
 
     processed: DataFrame
     new_bindings: DataFrame
+    decisions: DataFrame | None = None
 
 
 def with_source(events: DataFrame, sources: DataFrame | None) -> DataFrame:
@@ -41,7 +43,28 @@ def with_fingerprint(events: DataFrame, line: str = "line") -> DataFrame:
     """Fingerprint scoped by source; a fingerprint stored at ingest is used as it is."""
     if "fingerprint" in events.columns:
         return events
-    return events.withColumn("fingerprint", fingerprint(F.col(line), F.col("source_id")))
+    return events.withColumn("fingerprint", settle(fingerprint(F.col(line), F.col("source_id"))))
+
+
+def resolve_rules(
+    events: DataFrame, rules: RuleSet, bindings: DataFrame, sources: DataFrame | None = None, order: str = "seq", discovery: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Rule version per event by fingerprint and discovery, and the bindings discovery adds."""
+    events = with_fingerprint(with_source(events, sources))
+    matched = match_by_fingerprint(events, bindings, rules, "tenant_id")
+    if not (discovery and rules.rules):
+        return matched, events.sparkSession.createDataFrame([], "rule_id string, fingerprint string")
+    unmatched = matched.filter(F.col("rule_version_id").isNull())
+    first = cut_lineage(first_passes(unmatched, rules, "line", order, "tenant_id"))
+    return discovery_timeline(matched, rules, "line", order, "tenant_id", first=first), bind_fingerprint(first, bindings, rules)
+
+
+def apply_decisions(matched: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Events of locked containers take the rule the lock decided on; others keep their own."""
+    choice = decisions.select("trace_id", F.col("rule_version_id").alias("_locked"), F.lit(True).alias("_decided"))
+    joined = matched.join(choice, "trace_id", "left")
+    version = F.when(F.col("_decided"), F.col("_locked")).otherwise(F.col("rule_version_id"))
+    return joined.withColumn("rule_version_id", version).drop("_locked", "_decided")
 
 
 def process_batch(
@@ -52,27 +75,21 @@ def process_batch(
     prior: list[DataFrame] | None = None,
     order: str = "seq",
     discovery: bool = True,
-    locked: DataFrame | None = None,
+    container: str | None = None,
+    lock_state: DataFrame | None = None,
 ) -> BatchResult:
     """Run the whole pipeline over a batch.
 
-    ``prior`` holds earlier outcome tables: events that already have an outcome are skipped.
-    ``locked`` optionally gives (trace_id, rule_version_id) decided by the rule lock.
+    ``prior`` holds earlier outcome tables: events that already have an outcome are skipped. With
+    ``container`` (job_id or session_id) the rule lock runs, starting from ``lock_state``.
     """
     if prior:
         events = skip_processed(events, processed_ids(*prior))
-    events = with_fingerprint(with_source(events, sources))
-    matched = match_by_fingerprint(events, bindings, rules, "tenant_id")
-    spark = events.sparkSession
-    if discovery and rules.rules:
-        unmatched = matched.filter(F.col("rule_version_id").isNull())
-        first = cut_lineage(first_passes(unmatched, rules, "line", order, "tenant_id"))
-        matched = discovery_timeline(matched, rules, "line", order, "tenant_id", first=first)
-        fresh = bind_fingerprint(first, bindings, rules)
-    else:
-        fresh = spark.createDataFrame([], "rule_id string, fingerprint string")
-    if locked is not None:
-        choice = locked.select("trace_id", F.col("rule_version_id").alias("_locked"))
-        matched = matched.join(choice, "trace_id", "left").withColumn("rule_version_id", F.col("_locked")).drop("_locked")
+    matched, fresh = resolve_rules(events, rules, bindings, sources, order, discovery)
+    decisions = None
+    if container:
+        versions = [rule.rule_version_id for rule in rules.rules]
+        decisions = cut_lineage(rule_lock(matched, container, order, versions, initial=lock_state))
+        matched = apply_decisions(matched, decisions)
     parsed = rules.parse_and_check(matched, "line", "rule_version_id")
-    return BatchResult(normalize(parsed, rules), fresh)
+    return BatchResult(normalize(parsed, rules), fresh, decisions)

@@ -44,3 +44,24 @@ def first_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1) ->
     shuffle (window group limit), so hot groups do not travel."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def next_after(df: DataFrame, keys: list[str], order: str, columns: dict[str, object], max_group: int = WINDOW_MAX_ROWS) -> DataFrame:
+    """Add, per named Column, its smallest non-null value among the later rows of the group.
+
+    Same split as :func:`number_rows`: within a range partition by a window, across partitions by
+    a suffix minimum over one row per (group, partition).
+    """
+    later = (1, Window.unboundedFollowing)
+    if largest_group(df, keys) <= max_group:
+        window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*later)
+        return df.withColumns({name: F.min(column).over(window) for name, column in columns.items()})
+    parts = max(1, math.ceil(df.count() / max_group))
+    named = df.withColumns({f"_in_{name}": column for name, column in columns.items()})
+    placed = cut_lineage(named.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    firsts = placed.groupBy(*keys, "_part").agg(*[F.min(f"_in_{name}").alias(f"_min_{name}") for name in columns])
+    beyond = Window.partitionBy(*keys).orderBy("_part").rowsBetween(*later)
+    tails = firsts.select(*keys, "_part", *[F.min(f"_min_{name}").over(beyond).alias(f"_tail_{name}") for name in columns])
+    local = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(*later)
+    joined = placed.withColumns({f"_near_{name}": F.min(f"_in_{name}").over(local) for name in columns}).join(tails, [*keys, "_part"])
+    return joined.select(*df.columns, *[F.coalesce(f"_near_{name}", f"_tail_{name}").alias(name) for name in columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest row count a side may have before it is broadcast by hint.
@@ -32,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(column: Column) -> Column:
+    """Keep filters on a costly column above the projection that computes it.
+
+    The optimiser pushes a filter below a projection by copying the expression into it, which
+    would run all parsing again for every test of its result. It leaves projections that hold a
+    non-deterministic term alone; this one is always true.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """True when the frame is proven to hold at most ``max_rows`` rows (reads one row more)."""
     return df.limit(max_rows + 1).count() <= max_rows
