@@ -11,7 +11,7 @@ PASSWORD = (r"(?i)(password|passwd|pwd)\s*(=|:)\s*([^\s,;]+)", "$1$2[REDACTED]")
 AWS_KEY = (r"(?<![A-Z0-9])AKIA[A-Z0-9]{16}(?![A-Z0-9])", "[AWS_ACCESS_KEY_REDACTED]")
 
 # Opt-in additions of the strict mode: quoted values and JSON members.
-STRICT_JSON = (r'(?i)("(?:password|passwd|pwd)"\s*:\s*)"(?:[^"\\]|\\.)*+"', '$1"[REDACTED]"')
+STRICT_JSON = (r'(?i)("(?:password|passwd|pwd)"\s*:\s*)"[^"\\]*+(?:\\.[^"\\]*+)*+"', '$1"[REDACTED]"')
 STRICT_QUOTED = (r"""(?i)\b(password|passwd|pwd)\s*(=|:)\s*(?:"[^"]*"|'[^']*')""", "$1$2[REDACTED]")
 
 

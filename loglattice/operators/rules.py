@@ -115,8 +115,9 @@ def json_strings(document: Column) -> Column:
 
     Keys (tokens followed by a colon) are left out.
     """
-    tokens = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*+"(?!\s*:)'), F.lit(0))
-    return F.transform(tokens, lambda token: F.get_json_object(F.concat(F.lit('{"s":'), token, F.lit("}")), "$.s"))
+    tokens = F.regexp_extract_all(document, F.lit(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'), F.lit(0))
+    values = F.filter(tokens, lambda token: ~F.endswith(token, F.lit(":")))
+    return F.transform(values, lambda token: F.get_json_object(F.concat(F.lit('{"s":'), token, F.lit("}")), "$.s"))
 
 
 def lint_rule_size(definition: Column) -> Column:
