@@ -71,23 +71,22 @@ def is_loose(target: str) -> bool:
 def fields_of(rule: Rule) -> Column:
     """Literal description of the targets of a rule."""
     constraints = list(rule.type_constraints)
+
+    def text(value: str | None) -> str:
+        return "null" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
     cells = [
-        F.struct(
-            F.lit(target).alias("target"),
-            F.lit(how_written(rule, target)).alias("transformation"),
-            F.lit(target == "security.action").alias("action"),
-            F.lit(target in rule.required_fields).alias("required"),
-            F.lit(rule.type_constraints[target] if target in constraints else None).cast("string").alias("type"),
-            F.lit(constraints.index(target) if target in constraints else -1).alias("rank"),
-        )
-        for target in rule.targets
+        f"named_struct('target', {text(t)}, 'transformation', {text(how_written(rule, t))}, 'action', {t == 'security.action'}, "
+        f"'required', {t in rule.required_fields}, 'type', cast({text(rule.type_constraints.get(t))} as string), "
+        f"'rank', {constraints.index(t) if t in constraints else -1})"
+        for t in rule.targets
     ]
-    return (F.array(*cells) if cells else F.array()).cast(FIELDS_TYPE)
+    return F.expr(f"cast(array({', '.join(cells)}) as {FIELDS_TYPE})")
 
 
 def positions_of(rule: Rule) -> Column:
     """Literal positions of the canonical targets among the targets of a rule; -1 for none."""
-    return F.array(*[F.lit(rule.targets.index(t) if t in rule.targets else -1) for t in POSITIONED])
+    return F.expr(f"array({', '.join(str(rule.targets.index(t) if t in rule.targets else -1) for t in POSITIONED)})")
 
 
 class RuleSet:
@@ -99,9 +98,16 @@ class RuleSet:
         self.datetime_mode = datetime_mode
         self.require_evidence = require_evidence
         self._slots: dict[str, str] = {}
+        self._memo: dict[object, object] = {}
         for rule in self.rules:
             self._slots.setdefault(parser_for(rule).share_key(rule), f"_p{len(self._slots)}")
 
+    def once(self, key: object, make: Callable[[], object]) -> object:
+        """Columns are built once per rule set: every micro-batch and query reuses them."""
+        if key not in self._memo:
+            self._memo[key] = make()
+        return self._memo[key]
+
     # -- prepared columns ------------------------------------------------------
 
     def slot(self, rule: Rule) -> str:
@@ -114,6 +120,9 @@ class RuleSet:
     def prepare(self, df: DataFrame, raw: str, gated_by: str | None) -> DataFrame:
         """Add one prepared column per parser family. ``gated_by`` names the column that holds the
         rule version of the row: a family is then evaluated only for rows of its own rules."""
+        return df.withColumns(self.once(("prepare", raw, gated_by), lambda: self._prepared(raw, gated_by)))
+
+    def _prepared(self, raw: str, gated_by: str | None) -> dict[str, Column]:
         columns = {}
         for name in self.slots:
             members = [r for r in self.rules if self.slot(r) == name]
@@ -121,10 +130,13 @@ class RuleSet:
             if gated_by:
                 text = F.when(F.col(gated_by).isin([r.rule_version_id for r in members]), text)
             columns[name] = parser_for(members[0]).prepare(text, members[0])
-        return df.withColumns(columns)
+        return columns
 
     def values(self, rule: Rule) -> Column:
         """Array of struct<value, kind, present>, one per target of the rule."""
+        return self.once(("values", rule.rule_version_id), lambda: self._values(rule))
+
+    def _values(self, rule: Rule) -> Column:
         parser = parser_for(rule)
         prepared = F.col(self.slot(rule))
         cells = []
@@ -137,7 +149,7 @@ class RuleSet:
         return (F.array(*cells) if cells else F.array()).cast(VALUES_TYPE)
 
     def parser_error(self, rule: Rule) -> Column:
-        return parser_for(rule).error(F.col(self.slot(rule)), rule)
+        return self.once(("error", rule.rule_version_id), lambda: parser_for(rule).error(F.col(self.slot(rule)), rule))
 
     def violation(self, values: Column, fields: Column, missing_names: Column, rules: list[Rule]) -> Column:
         """Validation error text: required fields first, then types in constraint order; null if none.
@@ -184,12 +196,12 @@ class RuleSet:
             df = df.withColumn(name, case if start == 0 else F.coalesce(F.col(name), case))
         return df
 
-    def literal_by_rule(self, version: Column, attribute: Callable[[Rule], object]) -> Column:
+    def literal_by_rule(self, version: str, attribute: Callable[[Rule], object]) -> Column:
         """CASE of a constant per rule."""
         case = F
         for rule in self.rules:
             value = attribute(rule)
-            case = case.when(version == rule.rule_version_id, value if isinstance(value, Column) else F.lit(value))
+            case = case.when(F.col(version) == rule.rule_version_id, value if isinstance(value, Column) else F.lit(value))
         return case.otherwise(F.lit(None)) if self.rules else F.lit(None)
 
     # -- whole steps -----------------------------------------------------------
@@ -202,16 +214,16 @@ class RuleSet:
             )
         df = self.prepare(df, raw, version)
         df = self.by_rule(df, "_values", version, self.values)
-        rule_of = F.col(version)
         df = df.withColumns(
-            {
-                "_fields": self.literal_by_rule(rule_of, fields_of),
-                "_needed": self.literal_by_rule(rule_of, self._required),
-                "_parse_error": self.literal_by_rule(rule_of, self.parser_error),
-            }
+            self.once(("rule columns", version), lambda: {
+                "_fields": self.literal_by_rule(version, fields_of),
+                "_needed": self.literal_by_rule(version, self._required),
+                "_parse_error": self.literal_by_rule(version, self.parser_error),
+            })
         )
-        error = F.coalesce(F.col("_parse_error"), self.violation(F.col("_values"), F.col("_fields"), F.col("_needed"), self.rules))
-        df = df.withColumn("_error", settle(error))
+        df = df.withColumn("_error", self.once("error", lambda: settle(
+            F.coalesce(F.col("_parse_error"), self.violation(F.col("_values"), F.col("_fields"), F.col("_needed"), self.rules))
+        )))
         if self.datetime_mode == "exact":
             df = self._exact_dates(df)
         return df.drop(*self.slots, "_needed", "_parse_error")
@@ -244,10 +256,14 @@ class RuleSet:
         before = df.columns
         if not self.rules:
             return df.withColumn(out, F.lit(None).cast("string"))
-        df = self.prepare(df, raw, None)
-        df = df.withColumns(
-            {f"_v{i}": F.when(self.parser_error(rule).isNull(), self.values(rule)) for i, rule in enumerate(self.rules)}
+        df = self.prepare(df, raw, None).withColumns(
+            self.once("candidate values", lambda: {
+                f"_v{i}": F.when(self.parser_error(rule).isNull(), self.values(rule)) for i, rule in enumerate(self.rules)
+            })
         )
+        return df.select(*before, self.once(("first passing", tenant), lambda: self._first_of(tenant)).alias(out))
+
+    def _first_of(self, tenant: str | None) -> Column:
         passes = []
         for i, rule in enumerate(self.rules):
             cells = F.col(f"_v{i}")
@@ -257,10 +273,13 @@ class RuleSet:
             if self.require_evidence and not rule.required_fields:
                 good = good & F.exists(cells, lambda c: c["present"])
             passes.append(F.when(good, F.lit(rule.rule_version_id)))
-        return df.select(*before, settle(F.coalesce(*passes)).alias(out))
+        return settle(F.coalesce(*passes))
 
     def annotate(self, df: DataFrame, version: str, namespace: str) -> DataFrame:
         """Add ``_entries``: one annotated cell per target, for rows with a rule and no error."""
+        return df.withColumns(self.once(("annotate", version, namespace), lambda: self._annotated(version, namespace)))
+
+    def _annotated(self, version: str, namespace: str) -> dict[str, Column]:
         ns, key = F.col(namespace), self.mask_key
 
         def cell(v, f):
@@ -291,9 +310,8 @@ class RuleSet:
 
         entries = F.zip_with("_values", "_fields", cell)
         ok = F.col(version).isNotNull() & F.col("_error").isNull()
-        return df.withColumn("_entries", F.when(ok, entries)).withColumn(
-            "_at", self.literal_by_rule(F.col(version), positions_of).cast("array<int>")
-        )
+        positions = self.literal_by_rule(version, positions_of).cast("array<int>")
+        return {"_entries": F.when(ok, entries), "_at": positions}
 
 
 def entry_at(target: str) -> Column:

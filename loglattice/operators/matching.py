@@ -82,7 +82,7 @@ def discovery_timeline(
 
 def bind_fingerprint(first: DataFrame, bindings: DataFrame, rules: RuleSet, at: str = "_first") -> DataFrame:
     """New (rule, fingerprint) bindings that discovery adds; existing ones are left out."""
-    rule_id = rules.literal_by_rule(F.col("_discovered"), lambda rule: rule.rule_id)
+    rule_id = rules.literal_by_rule("_discovered", lambda rule: rule.rule_id)
     fresh = first.select(rule_id.alias("rule_id"), "fingerprint").dropDuplicates(["rule_id", "fingerprint"])
     return fresh.join(bindings.select("rule_id", "fingerprint"), ["rule_id", "fingerprint"], "left_anti")
 

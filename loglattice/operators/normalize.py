@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,22 +72,32 @@ def _field_of(target: Column) -> Column:
 
 def canonical_columns(df: DataFrame) -> DataFrame:
     """Typed canonical columns, each read from the fixed position of its target in the row's rule."""
+    return df.withColumns(_canonical())
+
+
+@cache
+def _canonical() -> dict[str, Column]:
     groups = {
         group: F.struct(*[entry_at(f"{group}.{name}")["out"].alias(name) for name in names]) for group, names in CANONICAL.items()
     }
-    return df.withColumns(
-        {
+    return {
             **groups,
             "event_time": F.coalesce(entry_at("event_time")["out"], F.lit("")),
             "ingest_time": F.coalesce(entry_at("ingest_time")["out"], F.lit("")),
             "doc_event_id": F.coalesce(entry_at("event_id")["out"], F.col("trace_id")),
             "_json": F.transform("_entries", lambda e: json_value(e["out"], e["out_kind"])),
-        }
-    )
+    }
 
 
 def unmapped_column(df: DataFrame, rules: RuleSet, namespace: str = "namespace") -> DataFrame:
     """``unmapped_fields``: namespace or unknown group to key to value; plus ``_loose`` for JSON text."""
+    columns = rules.once(("loose", namespace), lambda: _loose_columns(rules, namespace))
+    for name, column in columns.items():
+        df = df.withColumn(name, column)
+    return df
+
+
+def _loose_columns(rules: RuleSet, namespace: str) -> dict[str, Column]:
     loose_targets = sorted({target for rule in rules.rules for target in rule.targets if is_loose(target)})
 
     def cell(e):
@@ -97,7 +109,7 @@ def unmapped_column(df: DataFrame, rules: RuleSet, namespace: str = "namespace")
         )
 
     chosen = F.filter(_written(F.col("_entries")), lambda e: e["target"].isin(loose_targets) if loose_targets else F.lit(False))
-    df = df.withColumn("_loose", F.transform(chosen, cell))
+    loose = F.transform(chosen, cell)
     groups = F.array_distinct(F.transform(F.col("_loose"), lambda c: c["group"]))
 
     def inner(group):
@@ -106,9 +118,10 @@ def unmapped_column(df: DataFrame, rules: RuleSet, namespace: str = "namespace")
         last = F.transform(keys, lambda k: F.element_at(F.filter(mine, lambda c: c["key"] == k), -1)["out"])
         return F.map_from_arrays(keys, last)
 
-    return df.withColumn("unmapped_fields", F.map_from_arrays(groups, F.transform(groups, inner)))
+    return {"_loose": loose, "unmapped_fields": F.map_from_arrays(groups, F.transform(groups, inner))}
 
 
+@cache
 def _unmapped_json() -> Column:
     groups = F.array_distinct(F.transform(F.col("_loose"), lambda c: c["group"]))
 
@@ -138,12 +151,14 @@ def _group_json(group: str) -> Column:
     return json_object([(name, _cell_json(f"{group}.{name}")) for name in CANONICAL[group]])
 
 
+@cache
 def _raw_reference_json() -> Column:
     return json_object(
         [("trace_id", quoted(F.col("trace_id"))), ("digest", quoted(F.col("digest"))), ("byte_length", F.col("byte_length").cast("string"))]
     )
 
 
+@cache
 def core_event() -> Column:
     """Core document as JSON text."""
     return json_object(
@@ -160,6 +175,7 @@ def core_event() -> Column:
     )
 
 
+@cache
 def to_ocsf() -> Column:
     """OCSF document as JSON text."""
     return json_object(
@@ -177,6 +193,7 @@ def to_ocsf() -> Column:
     )
 
 
+@cache
 def to_ecs() -> Column:
     """ECS document as JSON text."""
     return json_object(
@@ -196,9 +213,11 @@ def to_ecs() -> Column:
     )
 
 
-def select_target_schema(target_schema: Column) -> Column:
+@cache
+def select_target_schema(target_schema: str) -> Column:
     """Document in the layout the rule asks for; anything but ocsf and ecs is core."""
-    return F.when(target_schema == "ocsf", to_ocsf()).when(target_schema == "ecs", to_ecs()).otherwise(core_event())
+    layout = F.col(target_schema)
+    return F.when(layout == "ocsf", to_ocsf()).when(layout == "ecs", to_ecs()).otherwise(core_event())
 
 
 RULE_COLUMNS = {
@@ -212,7 +231,7 @@ RULE_COLUMNS = {
 
 def stamp_trace(df: DataFrame, rules: RuleSet, version: str = "rule_version_id") -> DataFrame:
     """Rule id, version, hash and schema version of the rule that handled the row."""
-    return df.withColumns({name: rules.literal_by_rule(F.col(version), get) for name, get in RULE_COLUMNS.items()})
+    return df.withColumns(rules.once(("stamp", version), lambda: {name: rules.literal_by_rule(version, get) for name, get in RULE_COLUMNS.items()}))
 
 
 def normalize(df: DataFrame, rules: RuleSet, path: str = FAST_PATH) -> DataFrame:
@@ -230,7 +249,7 @@ def normalize(df: DataFrame, rules: RuleSet, path: str = FAST_PATH) -> DataFrame
             "processing_path": F.when(outcome == "normalized", path).when(outcome == "unresolved", UNRESOLVED_PATH),
             "event_id": event_id_for(F.col("trace_id"), path),
             "raw_reference": F.struct("trace_id", "digest", "byte_length"),
-            "payload_json": F.when(outcome == "normalized", select_target_schema(F.col("target_schema"))),
+            "payload_json": F.when(outcome == "normalized", select_target_schema("target_schema")),
             "diagnostic": F.substring(F.col("_error"), 1, DIAGNOSTIC_CHARS),
         }
     )

@@ -46,8 +46,8 @@ def pull_samples(unresolved: DataFrame, raw: DataFrame, n: int = MAX_SAMPLES) ->
 
 def target_schema_compat(found: DataFrame, rules: RuleSet, target_schema: str | None, version: str = "rule_version_id") -> DataFrame:
     """Whether an active rule counts as found: it must write the requested layout, if one is requested."""
-    layout = rules.literal_by_rule(F.col(version), lambda rule: rule.target_schema)
-    rule_id = rules.literal_by_rule(F.col(version), lambda rule: rule.rule_id)
+    layout = rules.literal_by_rule(version, lambda rule: rule.target_schema)
+    rule_id = rules.literal_by_rule(version, lambda rule: rule.rule_id)
     good = F.col(version).isNotNull()
     if target_schema:
         good = good & (layout == target_schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions.text import fingerprint
@@ -43,7 +44,12 @@ def with_fingerprint(events: DataFrame, line: str = "line") -> DataFrame:
     """Fingerprint scoped by source; a fingerprint stored at ingest is used as it is."""
     if "fingerprint" in events.columns:
         return events
-    return events.withColumn("fingerprint", settle(fingerprint(F.col(line), F.col("source_id"))))
+    return events.withColumn("fingerprint", _scoped_fingerprint(line))
+
+
+@cache
+def _scoped_fingerprint(line: str) -> Column:
+    return settle(fingerprint(F.col(line), F.col("source_id")))
 
 
 def resolve_rules(

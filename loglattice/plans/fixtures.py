@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,6 +169,7 @@ _SAMPLE_LINES = [
 ]
 
 
+@cache
 def rule_set(**options) -> RuleSet:
     """The active rules in catalogue order."""
     active = sorted((r for r in RULES if r.status == "ACTIVE" and r.rule_status == "ACTIVE"), key=lambda r: (r.created_at, r.rule_id))
