@@ -18,7 +18,7 @@ from loglattice.plans.q_text import L, structure_sql
 from loglattice.plans.registry import query
 from loglattice.session import cut_lineage, ensure_checkpoint_dir
 from loglattice.sources.lines import read_log_lines, stream_log_lines
-from loglattice.sources.results import read_results, write_results, write_search_documents
+from loglattice.sources.results import SCHEMAS, read_results, write_results, write_search_documents
 from loglattice.sources.vault import read_raw_by_uri, read_raw_vault, write_raw_vault
 from loglattice.streaming.pipeline import stream_counters, stream_pipeline
 
@@ -227,7 +227,7 @@ def _(spark, sf):
 _PREFIX = "CASE WHEN substring(regexp_replace(upper(b), '[^A-Z0-9]', '', 'g'), 1, 5) = '' THEN 'UNK' ELSE substring(regexp_replace(upper(b), '[^A-Z0-9]', '', 'g'), 1, 5) END"
 
 
-@query("register_sources", f"WITH req AS (SELECT c_custkey, c_nationkey AS tenant, {_PREFIX} AS p FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN '--' ELSE c_mktsegment END AS b FROM customer)), num AS (SELECT *, row_number() OVER (PARTITION BY tenant, p ORDER BY c_custkey) + CASE WHEN p = 'BUILD' THEN 1 ELSE 0 END AS n FROM req) SELECT c_custkey, concat('SRC-', p, '-', lpad(cast(n as varchar), greatest(3, length(cast(n as varchar))), '0')) AS source_id FROM num")
+@query("register_sources", f"WITH req AS (SELECT c_custkey, c_nationkey AS tenant, {_PREFIX} AS p FROM (SELECT *, CASE WHEN c_acctbal < 0 THEN '--' ELSE c_mktsegment END AS b FROM customer)), num AS (SELECT *, row_number() OVER (PARTITION BY tenant, p ORDER BY c_custkey) + CASE WHEN p = 'BUILD' THEN 1 ELSE 0 END AS n FROM req) SELECT c_custkey, concat('SRC-', p, '-', lpad(cast(n as varchar), cast(greatest(3, length(cast(n as varchar))) as int), '0')) AS source_id FROM num")
 def _(spark, sf):
     c = fx.table(spark, sf, "customer")
     req = c.select("c_custkey", F.col("c_nationkey").alias("tenant_id"), F.when(F.col("c_acctbal") < 0, "--").otherwise("").alias("vendor"), F.col("c_mktsegment").alias("name"))
@@ -243,9 +243,9 @@ def _waiting(spark, sf, *kinds):
 _FP = f"concat(substring(sha256(source_id), 1, 8), '::', sha256({structure_sql()}))"
 
 
-@query("pull_samples", f"SELECT trace_id, line FROM (SELECT *, row_number() OVER (PARTITION BY source_id, fp ORDER BY received_at, trace_id) AS rn FROM (SELECT *, {_FP} AS fp FROM {L('cef', 'csv', 'asa')})) WHERE rn <= 5")
+@query("pull_samples", f"SELECT trace_id, line FROM (SELECT *, row_number() OVER (PARTITION BY source_id, fp ORDER BY received_at, trace_id) AS rn FROM (SELECT *, {_FP} AS fp FROM {L('cef', 'csv', 'kv')})) WHERE rn <= 5")
 def _(spark, sf):
-    e = _waiting(spark, sf, "cef", "csv", "asa")
+    e = _waiting(spark, sf, "cef", "csv", "kv")
     return onboarding.pull_samples(e.drop("line"), e).select("trace_id", "line")
 
 
@@ -265,8 +265,8 @@ def _(spark, sf):
     return found_rules.groupBy("kind", "active_rule_found").agg(F.count("*").alias("n"))
 
 
-def _tests(spark, sf):
-    names = {"asa": "asa", "leef": "leef", "json": "trail_json", "csv": "any_text"}
+def _tests(spark, sf, *kinds):
+    names = {k: t for k, t in {"asa": "asa", "leef": "leef", "json": "trail_json", "csv": "any_text"}.items() if k in kinds}
     rules = RuleSet([onboarding.template_rule(t, f"draft-{t}") for t in names.values()])
     version = F
     for kind, t in names.items():
@@ -276,12 +276,12 @@ def _tests(spark, sf):
 
 @query("rule_test_report", f"SELECT concat('draft-', CASE kind WHEN 'json' THEN 'trail_json' WHEN 'csv' THEN 'any_text' ELSE kind END, '@1') AS rule_version_id, count(*) AS samples, count(*) FILTER (WHERE kind <> 'json' OR json_valid(line)) AS passed_samples, bool_and(kind <> 'json' OR json_valid(line)) AS passed FROM {L('asa', 'leef', 'json', 'csv')} GROUP BY 1")
 def _(spark, sf):
-    return onboarding.rule_test_report(_tests(spark, sf)[1])
+    return onboarding.rule_test_report(_tests(spark, sf, "asa", "leef", "json", "csv")[1])
 
 
-@query("golden_cases", f"SELECT concat('draft-', CASE kind WHEN 'json' THEN 'trail_json' WHEN 'csv' THEN 'any_text' ELSE kind END, '@1') AS rule_version_id, count(*) FILTER (WHERE kind <> 'json' OR json_valid(line)) AS cases, count(*) FILTER (WHERE kind = 'leef') AS regressions FROM {L('asa', 'leef', 'json', 'csv')} GROUP BY 1")
+@query("golden_cases", f"SELECT concat('draft-', CASE kind WHEN 'json' THEN 'trail_json' WHEN 'csv' THEN 'any_text' ELSE kind END, '@1') AS rule_version_id, count(*) FILTER (WHERE kind <> 'json' OR json_valid(line)) AS cases, count(*) FILTER (WHERE kind = 'leef') AS regressions FROM {L('leef', 'json', 'csv')} GROUP BY 1")
 def _(spark, sf):
-    rules, tests = _tests(spark, sf)
+    rules, tests = _tests(spark, sf, "leef", "json", "csv")
     cases = onboarding.golden_cases(tests)
     changed = RuleSet([Rule(**{**r.__dict__, "field_mappings": {"vendor": "source.hostname"}, "required_fields": []}) if r.rule_id == "draft-leef" else r for r in rules.rules])
     again = onboarding.rule_tests(cases.select("rule_version_id", "trace_id", "line"), changed)
@@ -323,21 +323,20 @@ def _(spark, sf):
 # --- lock and streaming ------------------------------------------------------------------------------------------
 
 def _lock_events(spark, sf):
-    """Jobs whose events resolve to changing rules: line items of a return flag, rule by status and mode."""
-    li = fx.spread(fx.table(spark, sf, "lineitem"))
-    own = F.when(F.col("l_discount") > 0.09, None).when(F.col("l_linestatus") == "O", "ra").otherwise("rb")
-    position = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return li.select(F.col("l_returnflag").alias("job_id"), position.alias("seq"), F.concat(F.lit("t"), position.cast("string")).alias("trace_id"), own.alias("rule_version_id"))
+    """Jobs by event type; what an event resolves to follows its user, so rules alternate within a job."""
+    e = fx.table(spark, sf, "events")
+    own = F.when(F.col("value") > 300, None).when(F.col("user_id") > 40, "ra").otherwise("rb")
+    return e.select(F.col("event_type").alias("job_id"), F.col("event_id").alias("seq"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("trace_id"), own.alias("rule_version_id"))
 
 
 @query("rule_lock")
 def _(spark, sf):
-    return lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=20_000).select("container", "position", "rule_version_id", "was_locked", "spot_check", "mismatch")
+    return lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=2_000).select("container", "position", "rule_version_id", "was_locked", "spot_check", "mismatch")
 
 
 @query("lock_transition")
 def _(spark, sf):
-    return lock.lock_states(cut_lineage(lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=20_000)))
+    return lock.lock_states(cut_lineage(lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=2_000)))
 
 
 @query("spot_check_rate", "SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linenumber > 3 AND l_suppkey < 50 THEN 25 WHEN l_partkey < 100 THEN 50 ELSE 500 END AS rate FROM lineitem")
@@ -368,7 +367,7 @@ def _(spark, sf):
     path = _streamed(spark, sf)
     out = None
     for name in ("normalized", "unresolved"):
-        row = spark.read.parquet(f"{path}/out/{name}").agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
+        row = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/out/{name}").agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out
 
