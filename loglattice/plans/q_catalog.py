@@ -369,7 +369,7 @@ def _(spark, sf):
     for name in ("normalized", "unresolved"):
         row = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/out/{name}").agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.filter("n > 0")
 
 
 @query("stream_dedupe", f"SELECT source_id, count(*) AS n FROM {L('csv')} WHERE line LIKE '%allow%' GROUP BY 1")
