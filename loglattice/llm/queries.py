@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, line_rules
+from loglattice.llm import chunk_dedup, curriculum, line_rules, simhash_golay
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -91,3 +91,8 @@ FROM y
 @query("op5_curriculum_mix", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mixture(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash_golay")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
