@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, line_rules, simhash_golay
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, token_transducer, toxicity
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -96,3 +96,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_golay")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_golay.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_piece_codec")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_decode(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_token_transducer")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_transducer.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op8_html_extract")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
