@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, token_transducer, toxicity
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, surrogates, token_transducer, toxicity
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -116,3 +116,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extract")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_surrogates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymize(table(spark, sf_dir, "documents"))
