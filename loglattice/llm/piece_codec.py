@@ -2,8 +2,9 @@
 
 The model turns spaces into the marker U+2581 and puts one marker before a text. No piece of a
 model that this operator accepts has a marker after another character, so no merge crosses the
-place before a run of markers: a text is a sequence of marked words (a run of markers and what
-follows it), and each is segmented by itself. Every distinct marked word is segmented and decoded
+place before a run of markers, nor, as no piece has a line feed, the place before one: a text is a
+sequence of marked words (a run of markers or a line feed, and what follows), and each is segmented
+by itself. Every distinct marked word is segmented and decoded
 once per table, and ids, counts and surfaces are joined back by position. Tables live in the
 Python worker, over batches and tasks, and start afresh at ``TABLE_WORDS`` words, which bounds
 memory and changes no result. Rows never move: there is no shuffle.
@@ -28,41 +29,49 @@ from loglattice.llm.tokenizer_files import resolve
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-TABLE_WORDS = 500_000
-MARKED = re.compile(" +[^ ]*")
+TABLE_WORDS = 200_000
+MARKED = re.compile(r" +[^ \n]*|\n[^ \n]*")
 
 
 class WordTable:
-    """Distinct marked words (a run of spaces and what follows) with ids, surface and count."""
+    """Distinct marked words (a run of spaces, or one line feed, and what follows) with their ids."""
 
     def __init__(self, model: str, limit: int = TABLE_WORDS) -> None:
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
-        pieces = (self.lib.id_to_piece(i) for i in range(self.lib.vocab_size()))
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+        pieces = [self.lib.id_to_piece(i) for i in range(self.lib.vocab_size())]
+        if any(re.search(f"[^{MARK}]{MARK}", p) or "\n" in p for p in pieces):
             raise ValueError(f"{model}: a piece crosses a whitespace marker")
-        if self.lib.encode("  a") == self.lib.encode(" a") or self.lib.encode("a\tb") == self.lib.encode("a b"):
-            raise ValueError(f"{model}: spaces are not kept")
-        self.facts: dict[str, tuple[str, int, str]] = {}
+        if self.lib.encode("  a") == self.lib.encode(" a") or self.lib.encode("a\nb") == self.lib.encode("a b"):
+            raise ValueError(f"{model}: white space is not kept")
+        self.ids: dict[str, str] = {}
+        self.changed: dict[str, str] = {}  # words that do not decode to themselves
         self.limit = limit
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Segment the marked words that the table does not have, in one call of the library."""
-        if len(self.facts) > self.limit:
-            self.facts.clear()
-        new = list({w for t in texts for w in t if w not in self.facts})
-        # The library puts the first marker itself and takes it off again; a lone marker it would take for an empty text.
-        for word, ids in zip(new, self.lib.encode([w[1:] for w in new], num_threads=1), strict=True):
-            if word == " ":
-                ids = [self.lib.piece_to_id(MARK)]
-            self.facts[word] = (" ".join(map(str, ids)), len(ids), " " + self.lib.decode(ids))
-
-    def segment(self, text: str) -> tuple[str, int, str]:
-        """Decimal ids of the text joined by spaces, their number, and the decoded text."""
-        marked = marked_words(text)
-        facts = [self.facts[w] for w in marked]
-        return " ".join(f[0] for f in facts), sum(f[1] for f in facts), "".join(f[2] for f in facts)[1:]
+        if len(self.ids) > self.limit:
+            self.ids, self.changed = {}, {}
+        new = list(set().union(*texts) - self.ids.keys())
+        # The library puts the first marker itself and takes it off again; before a line feed it stays a piece of its own.
+        found = self.lib.encode([w[1:] if w[0] == " " else w for w in new], num_threads=1)
+        lone = [self.lib.piece_to_id(MARK)]
+        found = [ids[1:] if w[0] != " " else ids if w != " " else lone for w, ids in zip(new, found, strict=True)]
+        surfaces = self.lib.decode([lone + ids if w[0] != " " else ids for w, ids in zip(new, found, strict=True)])
+        for word, ids, surface in zip(new, found, surfaces, strict=True):
+            self.ids[word] = " ".join(map(str, ids))
+            surface = surface if word[0] != " " else " " + surface
+            if surface != word:
+                self.changed[word] = surface
+
+    def segment(self, marked: list[str]) -> tuple[str, str]:
+        """Decimal ids of a text's marked words joined by spaces, and the decoded text."""
+        if self.changed and not self.changed.keys().isdisjoint(marked):
+            decoded = "".join(self.changed.get(w, w) for w in marked)
+        else:
+            decoded = "".join(marked)
+        return " ".join(map(self.ids.__getitem__, marked)), decoded[1:]
 
 
 def marked_words(text: str) -> list[str]:
@@ -86,13 +95,14 @@ def encoder(model: str, with_ids: bool, rows_at_once: int = 64) -> Callable[[Ite
         for batch in batches:
             for at in range(0, len(batch), rows_at_once):
                 part = batch.iloc[at : at + rows_at_once]
-                table.learn([marked_words(t) for t in part["text"]])
+                texts = [marked_words(t) for t in part["text"]]
+                table.learn(texts)
                 out = []
-                for text in part["text"]:
-                    ids, n, decoded = table.segment(text)
+                for marked in texts:
+                    ids, decoded = table.segment(marked)
                     ids = f"{ids} {end}" if ids else end
                     digest = [hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    out.append((n + 1, *digest, *([[int(i) for i in ids.split(" ")], decoded] if with_ids else [])))
+                    out.append((ids.count(" ") + 1, *digest, *([[int(i) for i in ids.split(" ")], decoded] if with_ids else [])))
                 names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
                 done = pd.DataFrame(out, columns=names)
                 done.insert(0, "id", part["id"].to_numpy())

@@ -8,8 +8,8 @@ Two deterministic transducers are compiled for a byte-level BPE with the usual w
   associative) in a parallel prefix scan, and with its entry state known each chunk then emits its
   word starts. Documents follow each other in one buffer, with an end class that resets the state, so
   long texts and short ones cost the same per character.
-* The piece transducer reads the bytes of a word. Its state is the sequence of last tokens over the
-  prefixes read, a transition adds one token: the last token of a prefix is the longest token that
+* The piece transducer reads the bytes of a word through an automaton of all tokens. Its state is the
+  sequence of last tokens over the prefixes read, a transition adds one token: the last token of a prefix is the longest token that
   ends there and follows the last token before it in canonical BPE order, and the annotation is the
   count of the earlier prefix plus one. Which token may follow which depends only on the pair, and
   is compiled on demand from the merge table.
@@ -28,7 +28,9 @@ import json
 import sys
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +42,7 @@ from loglattice.llm.tokenizer_files import resolve
 TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 1024
 CHUNK = 256
-TABLE_WORDS = 1_000_000
+TABLE_WORDS = 400_000
 # Characters handled in one buffer.
 BUFFER_CHARS = 1 << 20
 
@@ -158,6 +160,9 @@ def word_starts(classes: np.ndarray, follow: np.ndarray, emit: np.ndarray, chunk
 
 # ---- piece transducer
 
+# Between words in one run; no byte is written so.
+BREAK = "\u0100"
+
 class PieceTransducer:
     """Counts tokens of words, given the merges of a byte-level BPE in order of rank."""
 
@@ -166,7 +171,11 @@ class PieceTransducer:
         self.merged = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(merges)}
         # A token's rank is that of the merge that makes it; single bytes have none.
         self.made = {c: (rank, a, b) for rank, (a, b, c) in enumerate(merges)}
-        self.longest = max(map(len, vocabulary), default=1)
+        # All tokens that end at a position, longest first.
+        self.automaton = ahocorasick.Automaton()
+        for token, i in self.ids.items():
+            self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+        self.automaton.make_automaton()
         self.follows: dict[tuple[int, int], bool] = {}
         self.words: dict[str, int] = {}
 
@@ -198,22 +207,36 @@ class PieceTransducer:
                 # A merge inside the right token comes after one across the border of the same rank.
                 limit, right = b[0] + 0.5, b[1]
 
-    def count(self, word: bytes) -> int:
-        last = [-1] * (len(word) + 1)
-        counts = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.ids.get(word[start:end])
-                if token is None or start and last[start] < 0:
-                    continue
-                if start == 0:
-                    if not self.canonical(token):
-                        continue
-                elif not self.may_follow(last[start], token):
-                    continue
-                last[end], counts[end] = token, counts[start] + 1
-                break
-        return counts[len(word)]
+    def counts(self, words: list[str]) -> list[int]:
+        """Tokens of each word, in one run of the compiled automaton over all of them."""
+        raw = [w.encode().decode("latin-1") for w in words]
+        text = BREAK.join(raw) + BREAK
+        # Per position: the last token of the prefix that ends there (-1: none), and its number of tokens.
+        last, number = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        follows, begun = self.follows, 0
+        ends = iter(accumulate(len(r) + 1 for r in raw))
+        until, done = next(ends, 0), -1
+        for end, (length, token) in self.automaton.iter(text):
+            if end == done:
+                continue
+            while end >= until:
+                begun, until = until, next(ends)
+            start = end + 1 - length
+            if start == begun:
+                key = (token, -1)
+                good = follows.get(key)
+                if good is None:
+                    good = self.canonical(token)
+                if good:
+                    last[end + 1], number[end + 1], done = token, 1, end
+            elif (before := last[start]) >= 0:
+                key = (before, token)
+                good = follows.get(key)
+                if good is None:
+                    good = self.may_follow(before, token)
+                if good:
+                    last[end + 1], number[end + 1], done = token, number[start] + 1, end
+        return [number[at - 1] for at in accumulate(len(r) + 1 for r in raw)]
 
     def canonical(self, token: int) -> bool:
         """True if the token's own text is encoded as this token (its two halves meet and merge)."""
@@ -303,19 +326,13 @@ class Counter:
         is_end = np.zeros(len(classes), bool)
         is_end[ends] = True
         bounds = cuts.tolist()
-        flags = is_end[cuts].tolist()
-        out, total = [], 0
-        for k, (start, end) in enumerate(zip(bounds, [*bounds[1:], len(joined)], strict=True)):
-            if flags[k]:
-                out.append(total)
-                total = 0
-                continue
-            word = joined[start:end]
-            n = words.get(word)
-            if n is None:
-                n = words[word] = self.pieces.count(word.encode())
-            total += n
-        return out
+        pieces = [joined[start:end] for start, end in zip(bounds, [*bounds[1:], len(joined)], strict=True)]
+        new = list(set(pieces) - words.keys())
+        words.update(zip(new, self.pieces.counts(new), strict=True))
+        each = np.fromiter(map(words.__getitem__, pieces), np.int64, len(pieces))
+        each[is_end[cuts]] = 0  # an end mark and the nothing after it
+        running = np.cumsum(each)
+        return np.diff(running[np.searchsorted(cuts, ends)], prepend=0).tolist()
 
 
 _COUNTERS: dict[str, Counter] = {}
