@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, surrogates, token_transducer, toxicity
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -121,3 +121,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_surrogates")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymize(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
