@@ -60,33 +60,68 @@ def seed_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, first window, last window, hash) of every anchor of a text, window runs in order."""
-    out = [[], [], [], []]
-    for begin in range(0, max(0, len(data) - WINDOW + 1), PIECE):
-        part = np.frombuffer(data, np.uint8)[begin : begin + PIECE + WINDOW - 1]
-        hashes = seed_hashes(part)
-        # 40 bits of hash, then the position: the smallest value is the leftmost smallest hash.
-        low = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
-        width = 1
-        while width * 2 <= SPAN:
-            low = np.minimum(low[:-width], low[width:])
-            width *= 2
-        low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :]) & np.uint64((1 << 24) - 1)
-        at = low.astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        last = np.concatenate([first[1:], [len(at)]]) - 1
-        for k, x in enumerate((at[first] + begin, first + begin, last + begin, hashes[at[first]].view(np.int64))):
-            out[k].append(x)
-    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in out)
+def anchors_in(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, last window, hash) of every anchor of texts laid end to end, in order.
+
+    ``ends``: where each text ends. Windows over a border are left out, so no anchor has windows of two texts.
+    """
+    part = np.frombuffer(data, np.uint8)
+    if len(part) < WINDOW:
+        return (np.zeros(0, np.int64),) * 4
+    hashes = seed_hashes(part)
+    # 40 bits of hash, then the position: the smallest value is the leftmost smallest hash.
+    low = (hashes >> np.uint64(24) << np.uint64(24)) | np.arange(len(hashes), dtype=np.uint64)
+    width = 1
+    while width * 2 <= SPAN:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.minimum(low[: len(low) - (SPAN - width)], low[SPAN - width :]) & np.uint64((1 << 24) - 1)
+    sizes = np.diff(ends, prepend=0)
+    border = np.repeat(ends, sizes)[: len(low)]
+    window = np.flatnonzero(np.arange(len(low)) + WINDOW <= border)
+    at = low[window].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+    last = np.concatenate([first[1:], [len(at)]])[: len(first)] - 1
+    return at[first], window[first], window[last], hashes[at[first]].view(np.int64)
+
+
+def anchors_of(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, number of its earlier anchors, position, first window, last window, hash) for stretches of texts, in order."""
+    start = 0
+    while start < len(texts):
+        if len(texts[start]) > PIECE:
+            n = 0
+            for begin in range(0, len(texts[start]) - WINDOW + 1, PIECE):
+                piece = texts[start][begin : begin + PIECE + WINDOW - 1]
+                at, first, last, h = anchors_in(piece, np.array([len(piece)]))
+                yield start, n, at + begin, first + begin, last + begin, h
+                n += len(at)
+            start += 1
+            continue
+        stop, size = start, 0
+        while stop < len(texts) and size + len(texts[stop]) <= PIECE:
+            size += len(texts[stop])
+            stop += 1
+        ends = np.cumsum([len(t) for t in texts[start:stop]])
+        at, first, last, h = anchors_in(b"".join(texts[start:stop]), ends)
+        cuts = np.searchsorted(at, ends)
+        begins = ends - np.diff(ends, prepend=0)
+        for k, (x, y) in enumerate(zip(np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist(), strict=True)):
+            if y > x:
+                shift = begins[k]
+                yield start + k, 0, at[x:y] - shift, first[x:y] - shift, last[x:y] - shift, h[x:y]
+        start = stop
 
 
 def anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for key, text in zip(batch["sha"], batch["text"], strict=True):
-            at, _, _, h = anchors(text.encode())
-            if len(at):
-                yield pd.DataFrame({"sha": key, "place": np.arange(len(at), dtype=np.int32), "h": h})
+        keys = batch["key"].to_numpy()
+        found = [(keys[k], n, h) for k, n, _, _, _, h in anchors_of([t.encode() for t in batch["text"]])]
+        if found:
+            yield pd.DataFrame({
+                "key": np.repeat([f[0] for f in found], [len(f[2]) for f in found]),
+                "place": np.concatenate([np.arange(n, n + len(h), dtype=np.int32) for _, n, h in found]), "h": np.concatenate([f[2] for f in found]),
+            })
 
 
 # ---- sorted runs
@@ -102,7 +137,7 @@ def common(a: bytes, b: bytes, start: int) -> int:
 
 
 # A suffix with what belongs to it: (hash and right bytes, left bytes, first offset, last offset, owners).
-Suffix = tuple[bytes, bytes, int, int, list[tuple[bytes, int]]]
+Suffix = tuple[bytes, bytes, int, int, list[tuple[int, int]]]
 
 
 def pack_run(suffixes: list[Suffix]) -> bytes:
@@ -113,7 +148,7 @@ def pack_run(suffixes: list[Suffix]) -> bytes:
         out.append(struct.pack("<HHHHHI", shared, len(text) - shared, len(left), low, high, len(owners)))
         out.append(text[shared:])
         out.append(left)
-        out += [key + struct.pack("<Q", at) for key, at in owners]
+        out += [struct.pack("<qq", key, at) for key, at in owners]
         before = text
     return zlib.compress(b"".join(out), 1)
 
@@ -128,17 +163,19 @@ def unpack_run(block: bytes) -> Iterator[tuple[int, Suffix]]:
         at += rest
         left = data[at : at + n_left]
         at += n_left
-        owners = [(data[at + 40 * k : at + 40 * k + 32], struct.unpack_from("<Q", data, at + 40 * k + 32)[0]) for k in range(n)]
-        at += 40 * n
+        owners = [struct.unpack_from("<qq", data, at + 16 * k) for k in range(n)]
+        at += 16 * n
         yield shared, (text, left, low, high, owners)
         before = text
 
 
-def suffixes_of(key: bytes, data: bytes, places: np.ndarray) -> Iterator[tuple[int, Suffix]]:
-    at, first, last, h = anchors(data)
-    for a, low, high, value in zip(at[places].tolist(), first[places].tolist(), last[places].tolist(), h[places].tolist(), strict=True):
-        reach = min(a + WINDOW, high + WINDOW)
-        yield value, (struct.pack(">q", value) + data[a:reach], data[low:a], a - high, a - low, [(key, a)])
+def suffixes_of(keys: list[int], texts: list[bytes], wanted: list[np.ndarray]) -> Iterator[tuple[int, Suffix]]:
+    """(hash, suffix) at the wanted anchors of each text."""
+    for k, n, at, first, last, h in anchors_of(texts):
+        some = wanted[k][(wanted[k] >= n) & (wanted[k] < n + len(at))] - n
+        key, data = keys[k], texts[k]
+        for a, low, high, value in zip(at[some].tolist(), first[some].tolist(), last[some].tolist(), h[some].tolist(), strict=True):
+            yield value, (struct.pack(">q", value) + data[a : min(a, high) + WINDOW], data[low:a], a - high, a - low, [(key, a)])
 
 
 def write_runs(parts: int):
@@ -156,10 +193,10 @@ def write_runs(parts: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, count = [[] for _ in range(parts)], 0
         for batch in batches:
-            for key, text, places in zip(batch["sha"], batch["text"], batch["places"], strict=True):
-                for value, suffix in suffixes_of(bytes.fromhex(key), text.encode(), np.sort(np.asarray(places))):
-                    held[value % parts].append(suffix)
-                    count += 1
+            wanted = [np.sort(np.asarray(p)) for p in batch["places"]]
+            for value, suffix in suffixes_of(batch["key"].tolist(), [t.encode() for t in batch["text"]], wanted):
+                held[value % parts].append(suffix)
+                count += 1
                 if count >= RUN_SUFFIXES:
                     yield blocks(held)
                     held, count = [[] for _ in range(parts)], 0
@@ -214,7 +251,7 @@ def merge_runs(runs: list[Iterator[tuple[int, Suffix]]]) -> Iterator[tuple[int,
             node //= 2
 
 
-def repeated_windows(merged: list[tuple[int, Suffix]]) -> Iterator[tuple[bytes, int, int]]:
+def repeated_windows(merged: list[tuple[int, Suffix]]) -> Iterator[tuple[int, int, int]]:
     """(text key, first byte, end) of runs of repeated windows, from one share of the merged order."""
     lcp = np.array([n - 8 for n, _ in merged], np.int64)
     lcp[:1] = -1
@@ -259,7 +296,7 @@ def merge_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def done() -> pd.DataFrame:
         merged = list(merge_runs([unpack_run(b) for b in blocks]))
-        return pd.DataFrame([(k.hex(), a, b) for k, a, b in repeated_windows(merged)], columns=["sha", "begin", "end"])
+        return pd.DataFrame(list(repeated_windows(merged)), columns=["key", "begin", "end"])
 
     for batch in batches:
         for p, block in zip(batch["part"], batch["block"], strict=True):
@@ -307,20 +344,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).withColumn("sha", F.sha2("text", 256))
     rows = cut_lineage(texts.select("id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     counts = cut_lineage(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("bytes")))
-    texts.filter(F.octet_length("text") >= WINDOW).groupBy("sha").agg(F.first("text").alias("text")).write.parquet(folder)
+    distinct = texts.filter(F.octet_length("text") >= WINDOW).groupBy("sha").agg(F.first("text").alias("text"))
+    distinct.withColumn("key", F.monotonically_increasing_id()).write.parquet(folder)
     once = spark.read.parquet(folder)
 
-    found = once.mapInPandas(anchor_rows, "sha string, place int, h long")
+    found = once.select("key", "text").mapInPandas(anchor_rows, "key long, place int, h long")
     shared = cut_lineage(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    places = cut_lineage(found.join(shared.select("h"), "h").groupBy("sha").agg(F.collect_list("place").alias("places")))
+    places = cut_lineage(found.join(shared.select("h"), "h").groupBy("key").agg(F.collect_list("place").alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(8, -(-total // PART_ANCHORS))
-    runs = once.join(places, "sha").select("sha", "text", "places").mapInPandas(write_runs(parts), "part int, block binary")
-    spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(merge_parts, "sha string, begin long, end long")
-    by_text = spans.groupBy("sha").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    runs = once.join(places, "key").select("key", "text", "places").mapInPandas(write_runs(parts), "part int, block binary")
+    spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(merge_parts, "key long, begin long, end long")
+    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     # A text with copies goes as a whole; the others lose what the merge found.
     single = counts.filter("n = 1").select("sha")
-    cut = once.join(by_text, "sha").join(single, "sha", "left_semi").mapInPandas(
+    cut = once.join(single, "sha", "left_semi").join(by_text, "key").select("sha", "text", "spans").mapInPandas(
         removal, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     partly = cut if with_text else cut.drop("kept_text")
     facts = cut_lineage(counts.join(partly, "sha", "left").withColumn("gone", (F.col("n") > 1) & (F.col("bytes") >= WINDOW)).drop("bytes"))
