@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("id"), whole(F.col(text_col)).alias("text")).withColumn("sha", F.sha2("text", 256))
     rows = cut_lineage(texts.select("id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     counts = cut_lineage(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("bytes")))
-    distinct = texts.filter(F.octet_length("text") >= WINDOW).groupBy("sha").agg(F.first("text").alias("text"))
+    distinct = texts.filter(F.octet_length("text") >= WINDOW).groupBy("sha").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
     distinct.withColumn("key", F.monotonically_increasing_id()).write.parquet(folder)
     once = spark.read.parquet(folder)
 
@@ -357,8 +357,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(merge_parts, "key long, begin long, end long")
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     # A text with copies goes as a whole; the others lose what the merge found.
-    single = counts.filter("n = 1").select("sha")
-    cut = once.join(single, "sha", "left_semi").join(by_text, "key").select("sha", "text", "spans").mapInPandas(
+    cut = once.filter("n = 1").join(by_text, "key").select("sha", "text", "spans").mapInPandas(
         removal, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     partly = cut if with_text else cut.drop("kept_text")
     facts = cut_lineage(counts.join(partly, "sha", "left").withColumn("gone", (F.col("n") > 1) & (F.col("bytes") >= WINDOW)).drop("bytes"))
