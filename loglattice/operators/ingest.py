@@ -13,11 +13,16 @@ RAW_INDEX = [
     "expires_at", "job_id", "session_id",
 ]
 
+# Columns that tell where a line stood: of its file (batch and stream readers), or the source's own number.
+POSITION = ["file_path", "block_start", "position", "seq", "offset"]
+
 
 def build_raw_events(lines: DataFrame, transport: str = "batch_api", identity: list[str] | None = None) -> DataFrame:
     """Raw events from lines with ``source_id``, ``received_at`` and ``line`` or ``payload``.
 
-    Missing envelope columns become null; a missing trace id is derived from ``identity``.
+    Missing envelope columns become null; a missing trace id is derived from ``identity``. Without
+    ``identity`` that is the source, the line and whatever tells where it stood (``POSITION``), so
+    equal lines of one file stay different events; a frame that has none of these is refused.
     """
     df = lines
     if "payload" not in df.columns:
@@ -32,7 +37,10 @@ def build_raw_events(lines: DataFrame, transport: str = "batch_api", identity: l
     if "transport" not in df.columns:
         df = df.withColumn("transport", F.lit(transport))
     if "trace_id" not in df.columns:
-        keys = identity or ["source_id", "line"]
+        place = [c for c in POSITION if c in df.columns]
+        if not identity and not place:
+            raise ValueError(f"lines have no trace_id and no position: pass identity, or one of {', '.join(POSITION)}")
+        keys = identity or ["source_id", *place, "line"]
         df = df.withColumn("trace_id", assign_trace_id(F.col("received_at"), *[F.col(k) for k in keys]))
     return df.withColumns(
         {

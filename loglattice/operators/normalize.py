@@ -288,12 +288,12 @@ def provenance(processed: DataFrame, keep_clear_values: bool = False) -> DataFra
 
 
 def provenance_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Newest row per (trace, target field)."""
-    both = old.unionByName(new)
+    """Newest row per (trace, target field); at equal times the new one wins over the old."""
+    both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)))
     key = ["trace_id", "target_field"]
     rest = [c for c in both.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.col("created_at")).alias("n")
-    return both.groupBy(*key).agg(newest).select(*key, *[F.col("n")[c].alias(c) for c in rest]).select(*both.columns)
+    newest = F.max_by(F.struct(*rest), F.struct("created_at", "_turn")).alias("n")
+    return both.groupBy(*key).agg(newest).select(*key, *[F.col("n")[c].alias(c) for c in rest]).select(*old.columns)
 
 
 def traces(processed: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ TOO_SHORT = "Invalid LEEF format, expected at least 5 pipe-separated fields, got
 
 
 def split_literal(text: Column, delimiter: Column) -> Column:
-    """Split on a literal taken from a column."""
-    return F.split(text, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")))
+    """Split on a literal taken from a column, which may hold an end-of-quote mark itself."""
+    quoted = F.replace(delimiter, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.split(text, F.concat(F.lit("\\Q"), quoted, F.lit("\\E")))
 
 
 def leef_pairs(raw: Column) -> Column:

@@ -23,7 +23,8 @@ def java_pattern(pattern: str) -> tuple[str, dict[str, int], int, frozenset[int]
     """Rewrite a pattern for the JVM: (pattern, name -> group number, groups, optional groups).
 
     Named groups become numbered ones because the JVM knows neither ``(?P<`` nor ``_`` in names;
-    ``[`` inside a class is escaped because the JVM would open a nested class.
+    ``[`` inside a class is escaped because the JVM would open a nested class, and a brace that
+    counts nothing because the JVM takes it for a repetition.
     """
     compiled = re.compile(pattern)
     out: list[str] = []
@@ -66,6 +67,15 @@ def java_pattern(pattern: str) -> tuple[str, dict[str, int], int, frozenset[int]
             frames[-1]["groups"].extend(inside)
             out.append(ch)
             i += 1
+        elif ch == "{":
+            times = re.compile(r"\{(\d*)(,?)(\d*)\}").match(pattern, i)
+            if times and times[1] + times[3]:
+                # The JVM wants a lower bound.
+                out.append("{" + (times[1] or "0") + times[2] + times[3] + "}")
+                i = times.end()
+            else:
+                out.append("\\{")
+                i += 1
         else:
             if ch == "|":
                 frames[-1]["alternatives"] = True

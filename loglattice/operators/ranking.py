@@ -36,7 +36,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list, out: str, max_group
     shifts = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
     joined = local.join(shifts, [*keys, "_part"])
-    return joined.withColumn(out, (F.col("_local") + F.col("_shift")).cast("int")).select(*df.columns, out)
+    return joined.withColumn(out, (F.col("_local") + F.col("_shift")).cast("long")).select(*df.columns, out)
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:

@@ -12,7 +12,7 @@ BROADCAST_MAX_ROWS = 200_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; make one only where none is set (tests)."""
+    """Use the shared folder the cluster names; make one only in local mode where none is set (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -21,6 +21,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = sc.getCheckpointDir()
     if current is None:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loglattice-ckpt-"))
         current = sc.getCheckpointDir()
     return current
@@ -67,8 +69,7 @@ def lookup_join(
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup, max_rows):
         return facts.join(F.broadcast(lookup), keys, how)
-    salted_facts = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if c not in keys] or [F.lit(0)]), F.lit(salts)).cast("int")
-    )
+    # Any salt is right: each lookup row stands at all of them. Row numbers also split rows that agree in all columns.
+    salted_facts = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")

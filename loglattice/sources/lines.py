@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.functions.text import decode_payload, trim_space
@@ -10,10 +10,17 @@ from loglattice.functions.text import decode_payload, trim_space
 
 def _clean(df: DataFrame) -> DataFrame:
     """Valid text, trimmed; lines that are blank are dropped. Undecodable bytes are dropped too."""
-    text = F.replace(decode_payload(F.col("value")), F.lit("�"), F.lit(""))
+    decoded = decode_payload(F.col("value"))
+    # Only marks of undecodable bytes go, not those that were in valid text.
+    text = F.when(F.is_valid_utf8("value"), decoded).otherwise(F.replace(decoded, F.lit("\ufffd"), F.lit("")))
     return df.withColumn("line", trim_space(text)).filter(F.col("line") != "").drop("value")
 
 
+def _position() -> Column:
+    """Number of the row within its task; with file and block start it orders the lines of a file."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
 def read_log_lines(spark: SparkSession, path: str, source_id: str | None = None, job_id: str | None = None) -> DataFrame:
     """One row per non-blank line with its file and a sequence that follows the file order.
 
@@ -26,6 +33,7 @@ def read_log_lines(spark: SparkSession, path: str, source_id: str | None = None,
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
         F.monotonically_increasing_id().alias("seq"),
+        _position().alias("position"),
     )
     return _clean(raw).withColumns({"source_id": F.lit(source_id), "job_id": F.lit(job_id)})
 
@@ -47,5 +55,6 @@ def stream_log_lines(spark: SparkSession, path: str, max_files: int = 64) -> Dat
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
+        F.col("_metadata.file_block_start").alias("block_start"), _position().alias("position"),
     )
     return _clean(raw)
