@@ -330,6 +330,7 @@ def cut_out(data: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[bytes, i
 def removal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
+        batch = batch[batch["n"] == 1]  # texts with copies go as a whole
         for key, text, spans in zip(batch["sha"], batch["text"], batch["spans"], strict=True):
             pairs = np.array([(s["begin"], s["end"]) for s in spans], np.int64)
             left, removed, n = cut_out(text.encode(), pairs[:, 0], pairs[:, 1])
@@ -345,7 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = cut_lineage(texts.select("id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     counts = cut_lineage(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.first("n_bytes").alias("bytes")))
     distinct = texts.filter(F.octet_length("text") >= WINDOW).groupBy("sha").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    distinct.withColumn("key", F.monotonically_increasing_id()).write.parquet(folder)
+    distinct.withColumn("key", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
     once = spark.read.parquet(folder)
 
     found = once.select("key", "text").mapInPandas(anchor_rows, "key long, place int, h long")
@@ -353,11 +354,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = cut_lineage(found.join(shared.select("h"), "h").groupBy("key").agg(F.collect_list("place").alias("places")))
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(8, -(-total // PART_ANCHORS))
-    runs = once.join(places, "key").select("key", "text", "places").mapInPandas(write_runs(parts), "part int, block binary")
+    # The texts move once for both of their uses below: the two joins read the same columns, so the exchange is shared.
+    shared_columns = ["key", "sha", "n", "text"]
+    runs = once.join(places, "key").select(*shared_columns, "places").mapInPandas(write_runs(parts), "part int, block binary")
     spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(merge_parts, "key long, begin long, end long")
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     # A text with copies goes as a whole; the others lose what the merge found.
-    cut = once.filter("n = 1").join(by_text, "key").select("sha", "text", "spans").mapInPandas(
+    cut = once.join(by_text, "key").select(*shared_columns, "spans").mapInPandas(
         removal, "sha string, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     partly = cut if with_text else cut.drop("kept_text")
     facts = cut_lineage(counts.join(partly, "sha", "left").withColumn("gone", (F.col("n") > 1) & (F.col("bytes") >= WINDOW)).drop("bytes"))
