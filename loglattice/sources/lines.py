@@ -16,7 +16,7 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.withColumn("line", trim_space(text)).filter(F.col("line") != "").drop("value")
 
 
-def _position() -> Column:
+def line_position() -> Column:
     """Number of the row within its task; with file and block start it orders the lines of a file."""
     return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
@@ -33,7 +33,7 @@ def read_log_lines(spark: SparkSession, path: str, source_id: str | None = None,
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
         F.monotonically_increasing_id().alias("seq"),
-        _position().alias("position"),
+        line_position().alias("position"),
     )
     return _clean(raw).withColumns({"source_id": F.lit(source_id), "job_id": F.lit(job_id)})
 
@@ -51,10 +51,13 @@ def session_event_total(events: DataFrame, key: str) -> DataFrame:
 
 
 def stream_log_lines(spark: SparkSession, path: str, max_files: int = 64) -> DataFrame:
-    """The same lines as a stream; ``max_files`` per trigger is the back-pressure knob."""
+    """The same lines as a stream; ``max_files`` per trigger is the back-pressure knob.
+
+    Streams cannot number rows; the pipeline adds ``position`` to each micro-batch.
+    """
     raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(
         "value", F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
-        F.col("_metadata.file_block_start").alias("block_start"), _position().alias("position"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     )
     return _clean(raw)

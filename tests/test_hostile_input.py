@@ -7,6 +7,7 @@ from loglattice.operators.parsers.leef import leef_pairs
 from loglattice.operators.parsers.regex import java_pattern
 from loglattice.session import lookup_join
 from loglattice.sources.lines import read_log_lines
+from loglattice.streaming.pipeline import placed, stream_dedupe
 from pyspark.sql import functions as F
 
 
@@ -18,6 +19,12 @@ def test_repeated_lines_stay_different_events(spark, tmp_path):
     assert "same �" in {r.line for r in rows}
 
 
+def test_repeated_lines_of_a_micro_batch(spark):
+    batch = spark.sql("SELECT 's' AS source_id, timestamp_ntz'2024-01-01 00:00:00' AS received_at, 'f' AS file_path, 0L AS block_start, 'same' AS line FROM range(5)")
+    fresh = stream_dedupe(build_raw_events(placed(batch)), [])
+    assert fresh.count() == 5
+
+
 def test_identity_is_required(spark):
     lines = spark.sql("SELECT 's' AS source_id, timestamp_ntz'2024-01-01 00:00:00' AS received_at, 'x' AS line")
     with pytest.raises(ValueError, match="identity"):
