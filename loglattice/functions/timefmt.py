@@ -57,6 +57,19 @@ def parse_wall_clock(value: Column) -> Column:
     return F.get(F.transform(F.array(F.split(canonical, r"\|")), stamp), F.lit(0)).try_cast("timestamp_ntz")
 
 
+# Most days a month can have.
+_MONTH_DAYS = {"jan|mar|may|jul|aug|oct|dec": "3[01]|[12]\\d|0?[1-9]", "apr|jun|sep|nov": "30|[12]\\d|0?[1-9]", "feb": "[12]\\d|0?[1-9]"}
+_SYSLOG_TIME = (
+    r"^\s*(?:(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(?:" + "|".join(rf"(?i:{m})[a-z]*\s+(?:{days})" for m, days in _MONTH_DAYS.items())
+    + r"),?\s+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?\s*$"
+)
+
+
+def is_yearless_time(value: Column) -> Column:
+    """True for times as syslog writes them, ``Jan  5 10:00:00``: a date without a year, and a clock."""
+    return F.coalesce(F.rlike(value, F.lit(_SYSLOG_TIME)), F.lit(False))
+
+
 def _offset_minutes(value: Column) -> Column:
     """Offset at the end of the text in minutes; 0 when there is none."""
     tail = r"\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*([+-])(\d{2}):?(\d{2})?\s*$"

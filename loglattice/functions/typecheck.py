@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loglattice.functions.timefmt import parse_wall_clock
+from loglattice.functions.timefmt import is_yearless_time, parse_wall_clock
 
 # Spellings of truth values.
 BOOLEAN_WORDS = ["true", "false", "1", "0", "yes", "no"]
@@ -73,9 +73,9 @@ def _dateutil_ok(values: pd.Series) -> pd.Series:
 
 
 def is_datetime(value: Column, mode: str = "native") -> Column:
-    """Full dates and date-times natively; ``mode='exact'`` asks dateutil, in Arrow batches,
-    about the texts the native shapes do not cover."""
-    native = parse_wall_clock(value).isNotNull()
+    """Full dates, date-times and syslog times without a year natively; ``mode='exact'`` asks
+    dateutil, in Arrow batches, about the texts the native shapes do not cover."""
+    native = parse_wall_clock(value).isNotNull() | is_yearless_time(value)
     if mode == "native":
         return native
     return native | F.coalesce(F.pandas_udf(_dateutil_ok, "boolean")(F.when(~native, value)), F.lit(False))

@@ -89,6 +89,19 @@ def positions_of(rule: Rule) -> Column:
     return F.expr(f"array({', '.join(str(rule.targets.index(t) if t in rule.targets else -1) for t in POSITIONED)})")
 
 
+def _dated(values: Column, fields: Column) -> Column:
+    """Text of each present ``datetime`` field, null elsewhere."""
+    return F.zip_with(values, fields, lambda v, f: F.when((F.lower(f["type"]) == "datetime") & v["present"], py_text(v["value"], v["kind"])))
+
+
+def _first_bad(batch: pd.Series) -> pd.Series:
+    """Position of the first text per row that dateutil refuses, null for none."""
+    return pd.Series(
+        [next((i for i, text in enumerate(texts) if text is not None and not dateutil_accepts(text)), None) if texts is not None else None
+         for texts in batch], dtype="Int32",
+    )
+
+
 class RuleSet:
     """Active rules in evaluation order, with their column expressions."""
 
@@ -235,14 +248,8 @@ class RuleSet:
     def _exact_dates(self, df: DataFrame) -> DataFrame:
         """Ask dateutil about ``datetime`` fields of rows without another error."""
 
-        def first_bad(batch: pd.Series) -> pd.Series:
-            return pd.Series(
-                [next((i for i, text in enumerate(texts) if text is not None and not dateutil_accepts(text)), None) if texts is not None else None
-                 for texts in batch], dtype="Int32",
-            )
-
-        dated = F.zip_with("_values", "_fields", lambda v, f: F.when((F.lower(f["type"]) == "datetime") & v["present"], py_text(v["value"], v["kind"])))
-        bad = F.pandas_udf(first_bad, "int")(F.when(F.col("_error").isNull() & F.exists("_fields", lambda f: F.lower(f["type"]) == "datetime"), dated))
+        dated = _dated(F.col("_values"), F.col("_fields"))
+        bad = F.pandas_udf(_first_bad, "int")(F.when(F.col("_error").isNull() & F.exists("_fields", lambda f: F.lower(f["type"]) == "datetime"), dated))
         df = df.withColumn("_bad", bad)
         cell = F.get("_values", F.col("_bad"))
         text = F.concat(
@@ -261,8 +268,23 @@ class RuleSet:
                 f"_v{i}": F.when(self.parser_error(rule).isNull(), self.values(rule)) for i, rule in enumerate(self.rules)
             })
         )
+        if self.datetime_mode == "exact":
+            df = self._exact_candidates(df)
         return df.select(*before, self.once(("first passing", tenant), lambda: self._first_of(tenant)).alias(out))
 
+    def _exact_candidates(self, df: DataFrame) -> DataFrame:
+        """Candidate values of rules with ``datetime`` fields go where dateutil refuses one of them.
+
+        One Arrow pass for all rules.
+        """
+        dated = [i for i, rule in enumerate(self.rules) if "datetime" in {t.lower() for t in rule.type_constraints.values()}]
+        if not dated:
+            return df
+        df = df.withColumns({
+            f"_b{i}": F.pandas_udf(_first_bad, "int")(_dated(F.col(f"_v{i}"), fields_of(self.rules[i]))) for i in dated
+        })
+        return df.withColumns({f"_v{i}": F.when(F.col(f"_b{i}").isNull(), F.col(f"_v{i}")) for i in dated})
+
     def _first_of(self, tenant: str | None) -> Column:
         passes = []
         for i, rule in enumerate(self.rules):

@@ -15,7 +15,7 @@ CORE_LABEL = "core-1.0"
 OCSF_VERSION, OCSF_LABEL = "1.1.0", "ocsf-1.1.0"
 ECS_VERSION, ECS_LABEL = "8.11.0", "ecs-8.11.0"
 FAST_PATH, ONBOARDING_PATH, UNRESOLVED_PATH = "fast_path", "onboarding", "unresolved"
-STAGE_PARSER_FAILED = "parser_failed"
+STAGE_PARSER_FAILED, STAGE_VALIDATION_FAILED, VALUE_ERROR = "parser_failed", "validation_failed", "ValueError"
 DIAGNOSTIC_CHARS = 500
 DEFAULT_NAMESPACE = "vendor"
 
@@ -306,11 +306,21 @@ def traces(processed: DataFrame) -> DataFrame:
     )
 
 
+# How the texts of faulty rules begin; other failures are parser errors.
+RULE_FAULTS = ("Unsupported parser type: ", "Unsafe regex pattern: ", "Rule definition is too large")
+
+
 def dead_letters(processed: DataFrame) -> DataFrame:
+    """Failed events with stage and error class: a faulty rule fails validation, a bad line fails its parser."""
+    faulty = F.lit(False)
+    for start in RULE_FAULTS:
+        faulty = faulty | F.startswith(F.col("diagnostic"), F.lit(start))
+    stage = F.when(faulty, STAGE_VALIDATION_FAILED).otherwise(STAGE_PARSER_FAILED)
+    error_class = F.when(faulty, VALUE_ERROR).otherwise(PARSER_ERROR)
     unknown = F.concat(F.lit("vault://"), F.col("source_id"), F.lit("/unknown/"), F.col("trace_id"), F.lit(".raw"))
     uri = F.col("storage_uri") if "storage_uri" in processed.columns else F.lit(None)
     return processed.filter(F.col("outcome") == "dead_letter").select(
-        "trace_id", "source_id", F.lit(STAGE_PARSER_FAILED).alias("stage"), F.lit(PARSER_ERROR).alias("error_class"),
+        "trace_id", "source_id", stage.alias("stage"), error_class.alias("error_class"),
         "diagnostic", F.coalesce(uri, unknown).alias("raw_reference"), F.col("received_at").alias("created_at"), "job_id", "session_id",
     )
 

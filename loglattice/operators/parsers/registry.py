@@ -36,10 +36,20 @@ def register_parser(name: str, parser: Parser) -> None:
 
 
 def parser_for(rule: Rule) -> Parser:
-    try:
-        return _PARSERS[rule.parser_type.lower()]
-    except KeyError:
-        raise ValueError(f"Unsupported parser type: {rule.parser_type}") from None
+    """Parser of a rule. A defect or an unknown type is an error of that rule's events, not of the batch."""
+    known = _PARSERS.get(rule.parser_type.lower())
+    if rule.defect or known is None:
+        return _refusing(rule.defect or f"Unsupported parser type: {rule.parser_type}")
+    return known
+
+
+def _refusing(reason: str) -> Parser:
+    return Parser(
+        prepare=lambda raw, rule: F.lit(None).cast("string"),
+        error=lambda prepared, rule: F.lit(reason),
+        value=lambda prepared, rule, key: absent(),
+        share_key=lambda rule: "refused",
+    )
 
 
 # --- shared column helpers --------------------------------------------------

@@ -15,7 +15,7 @@ from loglattice.operators.matching import (
     bind_fingerprint, discovery_timeline, first_passes, match_by_fingerprint, processed_ids, skip_processed,
 )
 from loglattice.operators.normalize import normalize, vendor_namespace
-from loglattice.session import cut_lineage, lookup_join, settle
+from loglattice.session import cut_lineage, lookup_join, settle, written
 
 DEFAULT_TENANT = "default"
 
@@ -55,9 +55,16 @@ def _scoped_fingerprint(line: str) -> Column:
 def resolve_rules(
     events: DataFrame, rules: RuleSet, bindings: DataFrame, sources: DataFrame | None = None, order: str = "seq", discovery: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """Rule version per event by fingerprint and discovery, and the bindings discovery adds."""
+    """Rule version per event by fingerprint and discovery, and the bindings discovery adds.
+
+    Discovery reads the events before they are parsed. Fingerprints, the costliest columns, are
+    then worked out once: events that do not store theirs are written with it first.
+    """
+    stored = "fingerprint" in events.columns
     events = with_fingerprint(with_source(events, sources))
     matched = match_by_fingerprint(events, bindings, rules, "tenant_id")
+    if discovery and rules.rules and not stored:
+        matched = written(matched, "matched")
     if not (discovery and rules.rules):
         return matched, events.sparkSession.createDataFrame([], "rule_id string, fingerprint string")
     unmatched = matched.filter(F.col("rule_version_id").isNull())

@@ -9,7 +9,7 @@ from loglattice.functions.ids import digest_verified
 from loglattice.functions.text import raw_as_json_or_text
 from loglattice.operators.normalize import FAST_PATH, UNRESOLVED_PATH
 from loglattice.operators.ranking import number_rows
-from loglattice.session import lookup_join
+from loglattice.session import cut_lineage, lookup_join
 
 
 def rule_label(name: Column, version: Column) -> Column:
@@ -22,7 +22,7 @@ def rule_label(name: Column, version: Column) -> Column:
 
 
 def event_filters(events: DataFrame, source_id: str | None = None, rule_id: str | None = None, processing_path: str | None = None) -> DataFrame:
-    """Optional equality filters; all of them reach the Parquet scan."""
+    """Optional equality filters; over stored tables all of them reach the Parquet scan."""
     for name, value in (("source_id", source_id), ("rule_id", rule_id), ("processing_path", processing_path)):
         if value:
             events = events.filter(F.col(name) == value)
@@ -95,10 +95,12 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20)
 
 
 def events_page(outcomes: DataFrame, raw: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
-    """Newest outcomes first. Raw payloads join after the page is cut, so at most ``size`` are read."""
-    cut = page(outcomes, [F.desc("created_at"), F.col("id")], number, size)
-    payload = raw.select("trace_id", raw_as_json_or_text(F.col("line")).alias("raw_payload"))
-    return payload.join(F.broadcast(cut), "trace_id", "right")
+    """Newest outcomes first. The page is cut first and its ids (100 at most) are broadcast, so raw
+    rows are scanned but never shuffled, and payloads are rendered for the page alone."""
+    cut = cut_lineage(page(outcomes, [F.desc("created_at"), F.col("id")], number, size))
+    mine = raw.join(F.broadcast(cut.select("trace_id").distinct()), "trace_id", "left_semi")
+    payload = mine.select("trace_id", raw_as_json_or_text(F.col("line")).alias("raw_payload"))
+    return cut.join(payload, "trace_id", "left")
 
 
 def containers_page(containers: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
@@ -129,7 +131,7 @@ def lock_rule_name(containers: DataFrame, locks: DataFrame, versions: DataFrame,
 
 
 def event_by_id(normalized: DataFrame, sources: DataFrame, tenant_id: str, event_id: str) -> DataFrame:
-    """Point filter; the id comparison is pushed to the scan."""
+    """Point filter; over stored tables the id comparison is pushed to the scan."""
     return tenant_scope(normalized.filter(F.col("event_id") == event_id), sources, tenant_id)
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ class Rule:
     name: str = ""
     tenant_id: str = "default"
     created_at: str = "2024-01-01 00:00:00"
+    # Why the rule may not run; its events fail with this text. Not stored.
+    defect: str = ""
 
     @property
     def targets(self) -> list[str]:
@@ -144,8 +147,112 @@ def lint_rules(rules: DataFrame, definition: str = "parser_definition") -> DataF
     )
 
 
-# Constructs beyond a linear-time dialect: a backtracking matcher may blow up on them.
-UNSAFE_FOR_BACKTRACKING = r"\(\?[=!<](?!\w+>)|\(\?<[=!]|\\[1-9]|\(\?P="
+def pattern_hazard(pattern: str) -> str:
+    """Why a backtracking matcher could blow up on the pattern; empty text if it cannot.
+
+    Look-around and back-references are hazards, and so is an endless repetition of a group that
+    itself repeats without end, or that has alternatives which may begin with the same character.
+    Escapes and character classes are read as such, at any depth of groups.
+    """
+    groups: list[dict] = [{"endless": False, "starts": [""]}]
+    i, n = 0, len(pattern)
+    closed: dict | None = None
+
+    def begins(text: str) -> None:
+        starts = groups[-1]["starts"]
+        starts[-1] = starts[-1] or text
+
+    while i < n:
+        ch = pattern[i]
+        endless = re.compile(r"[*+]|\{\d*,\}").match(pattern, i)
+        if endless and (i > 0 or ch == "{"):
+            if closed and (closed["endless"] or _may_share_start(closed["starts"])):
+                return "repeats a group that already repeats or has overlapping alternatives"
+            groups[-1]["endless"] = True
+            i = endless.end()
+            if pattern.startswith(("?", "+"), i):
+                i += 1
+            closed = None
+            continue
+        often = re.compile(r"\{\d*,?\d{2,}\}").match(pattern, i)
+        if often and closed and closed["endless"]:
+            return "repeats a group that already repeats or has overlapping alternatives"
+        closed = None
+        if ch == "\\":
+            if re.compile(r"\\[1-9]").match(pattern, i):
+                return "has a back-reference"
+            # An escaped mark is a plain character, an escaped letter stands for many.
+            begins(pattern[i + 1 : i + 2] if not pattern[i + 1 : i + 2].isalnum() else pattern[i : i + 2])
+            i += 2
+        elif ch == "[":
+            end = _end_of_class(pattern, i)
+            begins("[]")
+            i = end + 1
+        elif ch == "(":
+            if re.compile(r"\(\?(?:<?[=!])").match(pattern, i):
+                return "has look-around"
+            if pattern.startswith("(?P=", i):
+                return "has a back-reference"
+            if pattern.startswith("(?(", i):
+                return "has a conditional group"
+            head = re.compile(r"\((?:\?P?<\w+>|\?[a-zA-Z-]*:?)?").match(pattern, i)
+            begins("()")
+            groups.append({"endless": False, "starts": [""]})
+            i = head.end()
+        elif ch == ")":
+            if len(groups) > 1:
+                closed = groups.pop()
+                groups[-1]["endless"] |= closed["endless"]
+            i += 1
+        elif ch == "|":
+            groups[-1]["starts"].append("")
+            i += 1
+        else:
+            if ch not in "^$?":
+                begins("any" if ch == "." else ch)
+            i += 1
+    return ""
+
+
+def _may_share_start(starts: list[str]) -> bool:
+    """True unless the alternatives of a group begin with different plain characters."""
+    plain = [s.lower() for s in starts]
+    return len(starts) > 1 and (any(len(s) != 1 for s in plain) or len(set(plain)) < len(plain))
+
+
+def _end_of_class(pattern: str, start: int) -> int:
+    end = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.S).match(pattern, start)
+    return end.end() - 1 if end else len(pattern)
+
+
+def rule_defect(rule: Rule, spark: SparkSession | None = None) -> str:
+    """Why a rule may not run; empty text if it may. With a session the JVM compiles its pattern too."""
+    if len(json.dumps(rule.parser_definition)) > MAX_RULE_CHARS:
+        return "Rule definition is too large"
+    if rule.parser_type.lower() != "regex":
+        return ""
+    pattern = rule.parser_definition.get("pattern") or ""
+    hazard = "repeats a repeated group" if re.search(NESTED_QUANTIFIER, pattern) else pattern_hazard(pattern)
+    if hazard:
+        return f"Unsafe regex pattern: {hazard}"
+    return jvm_refusal(spark, pattern) if spark else ""
+
+
+def jvm_refusal(spark: SparkSession, pattern: str) -> str:
+    """What the JVM says against a pattern that Python accepts; empty text if nothing."""
+    from py4j.protocol import Py4JJavaError
+
+    from loglattice.operators.parsers.regex import java_pattern
+
+    try:
+        body = java_pattern(pattern)[0]
+    except re.error:
+        return ""  # the parser reports it in its own words
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(body)
+    except Py4JJavaError as exc:
+        return f"Invalid regex pattern: {exc.java_exception.getMessage()}".splitlines()[0]
+    return ""
 
 
 def check_one_active(rules: DataFrame) -> DataFrame:
@@ -157,7 +264,10 @@ def check_one_active(rules: DataFrame) -> DataFrame:
 def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
     """ACTIVE versions of ACTIVE rules as objects, oldest first.
 
-    The catalogue is configuration: its size is checked before it is brought to the driver.
+    The catalogue is configuration: its size is checked before it is brought to the driver. A rule
+    that fails the lint stays in the list with its ``defect``: discovery passes over it and events
+    bound to it become dead letters with that text, while all other rules go on. ``rejected``
+    lists such rules.
     """
     active = rules.filter((F.col("status") == "ACTIVE") & (F.col("rule_status") == "ACTIVE"))
     rows = active.limit(MAX_RULES + 1).collect()
@@ -170,13 +280,10 @@ def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
             newest[rule.rule_id] = rule
     chosen = sorted(newest.values(), key=lambda r: (r.created_at, r.rule_id))
     if enforce_lint:
-        import re
-
-        for rule in chosen:
-            text = json.dumps(rule.parser_definition)
-            pattern = rule.parser_definition.get("pattern") or ""
-            if len(text) > MAX_RULE_CHARS or re.search(NESTED_QUANTIFIER, pattern):
-                raise ValueError(f"rule {rule.rule_id} fails the safety lint")
-            if re.search(UNSAFE_FOR_BACKTRACKING, pattern):
-                raise ValueError(f"rule {rule.rule_id} uses look-around or back-references")
+        chosen = [replace(rule, defect=rule_defect(rule, rules.sparkSession)) for rule in chosen]
     return chosen
+
+
+def rejected(rules: list[Rule]) -> list[tuple[str, str]]:
+    """(rule version, reason) of the loaded rules that may not run."""
+    return [(rule.rule_version_id, rule.defect) for rule in rules if rule.defect]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.ids import parse_vault_uri
 
+# Files that one batch leaves per source and day at most.
+VAULT_PIECES = 32
 LAYOUT = r"/([^/]+)/(\d{4}-\d{2}-\d{2})/([^/]+)\.raw$"
 
 
@@ -16,14 +18,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_raw_vault(events: DataFrame, path: str) -> None:
-    """Append events whose trace id is not stored yet. Only the days of the batch are looked up."""
+    """Append events whose trace id is not stored yet.
+
+    Only the days between the first and the last of the batch are read of the stored side. Rows
+    are dealt by source, day and a piece of the trace id, so a source and day get few files, and a
+    hot source still spreads over ``VAULT_PIECES`` tasks.
+    """
     spark = events.sparkSession
     rows = events.withColumn("received_date", F.to_date("received_at"))
     if _exists(spark, path):
+        first, last = rows.agg(F.min("received_date"), F.max("received_date")).first()
         stored = spark.read.parquet(path).select("source_id", "received_date", "trace_id")
+        stored = stored.filter(F.col("received_date").between(F.lit(first), F.lit(last)))
         rows = rows.join(stored, ["source_id", "received_date", "trace_id"], "left_anti")
-    # The trace id in the hash spreads a hot source over many tasks and files.
-    rows.write.partitionBy("source_id", "received_date").mode("append").parquet(path)
+    piece = F.pmod(F.xxhash64("trace_id"), F.lit(VAULT_PIECES))
+    rows.repartition("source_id", "received_date", piece).write.partitionBy("source_id", "received_date").mode("append").parquet(path)
 
 
 def read_raw_vault(spark: SparkSession, path: str, source_id: str | None = None, day: str | None = None, trace_id: str | None = None) -> DataFrame:

@@ -1,12 +1,20 @@
 """Lines and rules that once stopped a batch or lost events."""
 
 import pytest
+from conftest import SF
+from loglattice.functions.typecheck import is_datetime
+from loglattice.operators import reports
+from loglattice.operators.engine import RuleSet
 from loglattice.operators.ingest import build_raw_events
 from loglattice.operators.normalize import provenance_upsert
 from loglattice.operators.parsers.leef import leef_pairs
 from loglattice.operators.parsers.regex import java_pattern
+from loglattice.operators.pipeline import process_batch
+from loglattice.operators.rules import Rule, load_rules, pattern_hazard, rejected, rules_frame
+from loglattice.plans import fixtures as fx
 from loglattice.session import lookup_join
 from loglattice.sources.lines import read_log_lines
+from loglattice.sources.results import read_results, write_results
 from loglattice.streaming.pipeline import placed, stream_dedupe
 from pyspark.sql import functions as F
 
@@ -57,3 +65,70 @@ def test_new_provenance_wins_a_tie(spark):
     old, new = (spark.sql(f"SELECT 't' AS trace_id, 'f' AS target_field, '{v}' AS source_value, timestamp_ntz'2024-01-01 00:00:00' AS created_at") for v in ("old", "new"))
     assert provenance_upsert(old, new).first().source_value == "new"
     assert provenance_upsert(old, new).columns == old.columns
+
+
+def test_faulty_rules_fail_their_own_events_only(spark):
+    rules = [
+        Rule("good@1", "good", 1, "regex", {"pattern": r"^ok (?P<n>\d+)$"}, {"n": "n"}, ["n"]),
+        Rule("slow@1", "slow", 1, "regex", {"pattern": r"^((a+))+$"}, {"x": "x"}),
+        Rule("odd@1", "odd", 1, "nosuch", {}, {"x": "x"}),
+        Rule("look@1", "look", 1, "regex", {"pattern": r"(?=a)b"}, {"x": "x"}),
+    ]
+    loaded = load_rules(rules_frame(spark, rules))
+    assert {v for v, _ in rejected(loaded)} == {"slow@1", "look@1"}
+    lines = spark.createDataFrame([("ok 1", "good@1"), ("aaaa!", "slow@1"), ("x", "odd@1"), ("b", "look@1"), ("ok 2", None)], "line string, v string")
+    got = {r.line: r._error for r in RuleSet(loaded).parse_and_check(lines, "line", "v").collect()}
+    assert got["ok 1"] is None and got["ok 2"] is None
+    assert got["x"] == "Unsupported parser type: nosuch" and got["aaaa!"].startswith("Unsafe regex pattern: ") and "look-around" in got["b"]
+    found = RuleSet(loaded).first_passing(lines, "line", None).collect()
+    assert {r.line: r._candidate for r in found} == {"ok 1": "good@1", "ok 2": "good@1", "aaaa!": None, "x": None, "b": None}
+
+
+@pytest.mark.parametrize(("pattern", "hazard"), [
+    (r"^((a+))+$", True), (r"(a|aa)+", True), (r"(a+){2,}", True), (r"(x+){1,30}", True), (r"(.|a)*", True), (r"(?<!a)b", True), (r"(a)\1", True), (r"(?P<a>x)(?P=a)", True),
+    (r"\(?=x", False), (r"[(+]+", False), (r"(?:\.|,)+", False), (r"(?:cat|dog)*", False), (r"(?:\d{1,3}\.){3}\d+", False), (r"a|b+", False), ("(", False), ("[", False), ("", False),
+])
+def test_pattern_hazard(pattern, hazard):
+    assert bool(pattern_hazard(pattern)) is hazard
+
+
+@pytest.mark.parametrize("mode", ["native", "exact"])
+def test_dates_count_in_discovery(spark, mode):
+    rule = Rule("d@1", "d", 1, "keyvalue", {"delimiter": " ", "kv_separator": "="}, {"t": "event_time", "n": "n"}, ["event_time"], {"event_time": "datetime"})
+    lines = spark.createDataFrame([("t=rubbish n=1",), ("t=2024-01-05 n=1",), ("t='Jan  5 10:00:00' n=2",), ("n=1",)], "line string")
+    found = RuleSet([rule], datetime_mode=mode).first_passing(lines, "line", None).collect()
+    assert [r._candidate for r in found] == [None, "d@1", "d@1", None]
+
+
+def test_times_without_a_year(spark):
+    texts = ["Jan  5 10:00:00", "Dec 31 23:59:59", "jan 5 1:02:03", "Feb 30 10:00:00", "Apr 31 10:00:00", "Jan 5 25:00:00", "Foo 5 10:00:00", "", None, "2024-01-05"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.ok for r in df.select("i", is_datetime(F.col("t")).alias("ok")).orderBy("i").collect()]
+    assert got == [True, True, True, False, False, False, False, False, False, True]
+
+
+def test_second_write_adds_nothing(spark, tmp_path):
+    done = process_batch(fx.raw_events(spark, SF, "leef", "xml"), fx.rule_set(), fx.bindings(spark), fx.sources(spark)).processed
+    first = write_results(done, str(tmp_path))
+    counts = {name: t.count() for name, t in read_results(spark, str(tmp_path)).items()}
+    assert write_results(done, str(tmp_path)) == first
+    assert {name: t.count() for name, t in read_results(spark, str(tmp_path)).items()} == counts
+    other = write_results(done.limit(3), str(tmp_path))
+    assert other != first and read_results(spark, str(tmp_path))["trace"].count() == counts["trace"] + 3
+
+
+def test_filters_reach_stored_tables(spark, tmp_path):
+    done = process_batch(fx.raw_events(spark, SF, "leef"), fx.rule_set(), fx.bindings(spark), fx.sources(spark)).processed
+    write_results(done, str(tmp_path))
+    stored = read_results(spark, str(tmp_path))["normalized"]
+    plan = reports.event_filters(stored, source_id="mail", rule_id="mail-leef")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(source_id,mail)" in plan and "EqualTo(rule_id,mail-leef)" in plan
+    plan = reports.event_by_id(stored, fx.sources(spark), "default", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(event_id,x)" in plan
+
+
+def test_page_does_not_shuffle_raw_rows(spark):
+    raw = fx.raw_events(spark, SF, "leef")
+    outcomes = raw.select(F.col("trace_id").alias("id"), "trace_id", F.col("received_at").alias("created_at"))
+    out = reports.events_page(outcomes, raw, 1, 5)
+    assert out.count() == 5 and out.filter("raw_payload IS NULL").count() == 0
