@@ -36,6 +36,11 @@ MARKS = re.compile(
     r"""\b(?:class|id|role)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|"""
     r"""sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|header|comments?|replies|disqus|share|sharing|social|related|popup|modal|login|search)"""
     r"""(?![a-z])""", re.I)
+# Marks of a page or an article as a whole ("has-sidebar") say nothing; an article counts as marked only by one of these as a full name.
+OWN_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?(?:[^"'>]*\s)?(?:ad|advert|sponsored|promo|comments?|reply|related)(?=[\s"'>]|$)""", re.I)
+TITLE_MARKS = re.compile(r"header|masthead", re.I)
+BARE_HIDDEN, VALUES = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I), re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+NOT_SHOWN = re.compile(r"""\bstyle\s*=\s*["'][^"']*display\s*:\s*none|\baria-hidden\s*=\s*["']?true""", re.I)
 STOP_WORDS = frozenset(
     "a about al an and are as at au aus auf avec be but by car con como da das de del dem den der des die dans du ein eine el elle en er es est et for from "
     "für had has have he his ich ihr il in is ist it la las le les lo los mais mit más nicht no nous of on or ou par para pas pero por pour que qui se sich sie "
@@ -57,12 +62,24 @@ class Block:
     article: bool
 
 
+def marked(tag: str, attributes: str, in_article: bool) -> bool:
+    """True where class, id or role say that an element is no part of the text, or it is not shown."""
+    if not attributes or tag in ("body", "html", "main"):
+        return False
+    if NOT_SHOWN.search(attributes) or BARE_HIDDEN.search(VALUES.sub("=", attributes)):
+        return True
+    if tag in ARTICLE:
+        return bool(OWN_MARKS.search(attributes))
+    # The head of an article holds its title.
+    return bool(MARKS.search(TITLE_MARKS.sub("", attributes) if in_article else attributes))
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space settled, character references decoded."""
     found: list[Block] = []
     stack: list[tuple[str, bool]] = []
     parts: list[str] = []
-    state = {"linked": 0, "in_link": 0, "section": 0}
+    state = {"linked": 0, "in_link": 0, "section": 0, "marked": False}
 
     def close() -> None:
         raw = html.unescape("".join(parts))
@@ -70,9 +87,9 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             inside = [kind for kind, _ in stack]
             article = any(k in ARTICLE for k in inside)
-            found.append(Block(text, state["linked"], any(bad for _, bad in stack), state["section"], article))
+            found.append(Block(text, state["linked"], state["marked"] or any(bad for _, bad in stack), state["section"], article))
         parts.clear()
-        state["linked"] = 0
+        state["linked"], state["marked"] = 0, False
 
     def take(text: str) -> None:
         parts.append(text)
@@ -93,7 +110,7 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
         elif tag in CONTAINERS and not m[2] and not (m[4] or "").endswith("/"):
             in_article = any(k in ARTICLE for k, _ in stack)
-            bad = tag in FURNITURE and not (tag == "header" and in_article) or bool(MARKS.search(m[4] or ""))
+            bad = tag in FURNITURE and not (tag == "header" and in_article) or marked(tag, m[4] or "", in_article)
             stack.append((tag, bad))
             state["section"] += tag in ARTICLE
         elif tag in CONTAINERS and m[2]:
@@ -102,6 +119,8 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[k:]
                     state["section"] += tag in ARTICLE
                     break
+        elif tag in BLOCKS and not m[2]:
+            state["marked"] = marked(tag, m[4] or "", any(k in ARTICLE for k, _ in stack))
     take(page[at:])
     close()
     return found

@@ -269,3 +269,19 @@ def test_pipeline(spark):
         assert step.columns == docs.columns
     again = piece_codec.encode_decode(step)
     assert Counter(tuple(r) for r in again.collect()) == Counter(tuple(r) for r in out.select(*again.columns).collect())
+
+
+P8 = "<p>The story of the river and the town that grew on its banks is long, and it is told by many of the people who live there.</p>"
+T8 = P8[3:-4]
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<body class='has-sidebar menu-open'><main class='with-sidebar'>{P8}</main></body>", T8),
+    (f"<div class='sidebar'>{P8}</div><article class='post has-share'><div class='entry-header'><h1>A title</h1></div>{P8}</article>", f"A title\n{T8}"),
+    (f"<article>{P8}<p class='ad'>Buy the best of the best and it is for you now.</p></article>", T8),
+    (f"<article>{P8}</article><section id='comments'><article class='comment'>{P8}</article></section>", T8),
+    (f"<article>{P8}</article><article class='comment'>{P8}</article>", T8),
+    (f"<article>{P8}<div hidden>{P8}</div><div style='display: none'>{P8}</div><p title='hidden'>It is the last of them.</p></article>", f"{T8}\nIt is the last of them."),
+])
+def test_html_marks_of_elements(page, text):
+    assert html_extract.main_text(page) == text
