@@ -307,7 +307,7 @@ def traces(processed: DataFrame) -> DataFrame:
 
 
 # How the texts of faulty rules begin; other failures are parser errors.
-RULE_FAULTS = ("Unsupported parser type: ", "Unsafe regex pattern: ", "Rule definition is too large")
+RULE_FAULTS = ("Unsupported parser type: ", "Unsafe regex pattern: ", "Rule definition is too large", "Unsupported JSON path: ")
 
 
 def dead_letters(processed: DataFrame) -> DataFrame:

@@ -11,18 +11,34 @@ from pyspark.sql import functions as F
 
 from loglattice.operators.parsers.registry import Parser, absent, register_parser
 
-# Fixed value: message.
+# Messages.
 NOT_JSON = "Event is not valid JSON"
+BAD_PATH = "Unsupported JSON path: "
 
 # Steps that one VARIANT lookup can follow: names, quoted names and array positions.
 _SIMPLE = re.compile(r"""^\$(?:\.[^.\[\]*'"?@()]+|\[\d+\]|\['[^']*'\]|\["[^"]*"\])*$""")
-_STEP = re.compile(r"""\.\.(?P<deep>[^.\[\]]+)|\.(?P<name>[^.\[\]]+)|\[(?P<index>\d+)\]|\[(?P<star>\*)\]|\[['"](?P<quoted>[^'"]*)['"]\]""")
+_STEP = re.compile(
+    r"""\.\.(?P<deep>[^.,:\[\]'"?@()]+)|\.(?P<name>[^.,:\[\]'"?@()]+)|\[(?P<star>\*)\]|\[(?P<indexes>-?\d+(?:\s*,\s*-?\d+)*)\]"""
+    r"""|\[(?P<slice>(?:-?\d+)?:(?:-?\d+)?(?::[1-9]\d*)?)\]|\[(?P<quoted>'[^']*'(?:\s*,\s*'[^']*')*|"[^"]*"(?:\s*,\s*"[^"]*")*)\]"""
+)
 
 
 def full_path(path: str) -> str:
     return path if path.startswith("$") else "$." + path
 
 
+def steps_of(path: str) -> list[re.Match] | None:
+    """Steps of a path; null where a part of it is none that is known."""
+    text, at, steps = full_path(path)[1:], 0, []
+    while at < len(text):
+        step = _STEP.match(text, at)
+        if step is None:
+            return None
+        steps.append(step)
+        at = step.end()
+    return steps
+
+
 def is_simple(path: str) -> bool:
     return bool(_SIMPLE.match(full_path(path)))
 
@@ -40,19 +56,22 @@ def _descend(node, name):
 
 
 def find_first(document, path: str):
-    """(found, value) of the first match of a path with wildcards or descendant steps."""
+    """(found, value) of the first match of a path with wildcards, descendants, unions or slices."""
     nodes = [document]
-    for step in _STEP.finditer(full_path(path)[1:]):
+    for step in steps_of(path) or []:
         if step["deep"]:
             nodes = [hit for node in nodes for hit in _descend(node, step["deep"])]
         elif step["star"] or step["name"] == "*":
             nodes = [child for node in nodes for child in _children(node)]
-        elif step["index"]:
-            at = int(step["index"])
-            nodes = [node[at] for node in nodes if isinstance(node, list) and at < len(node)]
+        elif step["indexes"]:
+            wanted = [int(text) for text in step["indexes"].split(",")]
+            nodes = [node[at] for node in nodes if isinstance(node, list) for at in wanted if -len(node) <= at < len(node)]
+        elif step["slice"]:
+            cut = slice(*[int(text) if text else None for text in step["slice"].split(":")])
+            nodes = [child for node in nodes if isinstance(node, list) for child in node[cut]]
         else:
-            name = step["name"] or step["quoted"]
-            nodes = [node[name] for node in nodes if isinstance(node, dict) and name in node]
+            names = [step["name"]] if step["name"] else [token[1:-1] for token in re.findall(r"'[^']*'|\"[^\"]*\"", step["quoted"])]
+            nodes = [node[name] for node in nodes if isinstance(node, dict) for name in names if name in node]
     return (True, nodes[0]) if nodes else (False, None)
 
 
@@ -75,7 +94,13 @@ def wildcard_hits(raw: Column, paths: list[str]) -> Column:
 
 def _complex_paths(rule) -> list[str]:
     paths = rule.parser_definition.get("paths", {})
-    return sorted({p for p in paths.values() if p and not is_simple(p)})
+    return sorted({p for p in paths.values() if p and not is_simple(p) and steps_of(p) is not None})
+
+
+def _error(prepared: Column, rule) -> Column:
+    """A path that cannot be read fails every event of its rule; lines that are no JSON fail as such."""
+    unknown = sorted({p for p in rule.parser_definition.get("paths", {}).values() if p and not is_simple(p) and steps_of(p) is None})
+    return F.lit(BAD_PATH + unknown[0]) if unknown else F.when(prepared["doc"].isNull(), F.lit(NOT_JSON))
 
 
 def _prepare(raw: Column, rule) -> Column:
@@ -114,6 +139,8 @@ def _value(prepared: Column, rule, key: str) -> Column:
         return absent()
     if is_simple(path):
         return variant_field(F.try_variant_get(prepared["doc"], full_path(path), "variant"))
+    if steps_of(path) is None:
+        return absent()
     slot = _complex_paths(rule).index(path)
     return variant_field(F.try_parse_json(F.get(prepared["hits"], F.lit(slot))))
 
@@ -122,7 +149,7 @@ register_parser(
     "jsonpath",
     Parser(
         _prepare,
-        lambda prepared, rule: F.when(prepared["doc"].isNull(), F.lit(NOT_JSON)),
+        _error,
         _value,
         lambda rule: "json" + repr(_complex_paths(rule)),
     ),

@@ -19,7 +19,18 @@ def L(*kinds):  # noqa: N802 - short name for SQL text below
 
 # --- ingest projections -----------------------------------------------------------------
 
-@query("assign_trace_id")
+def _digits(number, width):
+    """Base-32 digits of a number, highest first."""
+    return ", ".join(f"substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', ((({number}) >> {5 * (width - 1 - i)}) & 31)::INT + 1, 1)" for i in range(width))
+
+
+TRACE_ID_SQL = (
+    f"SELECT seq, concat({_digits('ms', 10)}, {_digits('hi', 8)}, {_digits('lo', 8)}) AS trace_id FROM (SELECT seq, ms, CAST(concat('0x', substr(h, 1, 10)) AS BIGINT) AS hi, "
+    "CAST(concat('0x', substr(h, 11, 10)) AS BIGINT) AS lo FROM (SELECT seq, epoch_us(received_at) // 1000 AS ms, sha256(concat_ws('␟', source_id, cast(seq as varchar), line)) AS h FROM {lines}))"
+)
+
+
+@query("assign_trace_id", TRACE_ID_SQL.format(lines=L("kv")))
 def _(spark, sf):
     e = fx.lines(spark, sf, "kv").drop("trace_id")
     return e.select("seq", ids.assign_trace_id(F.col("received_at"), F.col("source_id"), F.col("seq"), F.col("line")).alias("trace_id"))

@@ -15,7 +15,7 @@ from loglattice.plans import fixtures as fx
 from loglattice.session import lookup_join
 from loglattice.sources.lines import read_log_lines
 from loglattice.sources.results import read_results, write_results
-from loglattice.streaming.pipeline import placed, stream_dedupe
+from loglattice.streaming.pipeline import arrival, placed, stream_dedupe
 from pyspark.sql import functions as F
 
 
@@ -132,3 +132,26 @@ def test_page_does_not_shuffle_raw_rows(spark):
     outcomes = raw.select(F.col("trace_id").alias("id"), "trace_id", F.col("received_at").alias("created_at"))
     out = reports.events_page(outcomes, raw, 1, 5)
     assert out.count() == 5 and out.filter("raw_payload IS NULL").count() == 0
+
+
+@pytest.mark.parametrize(("path", "value"), [
+    ("$.l[0:2]", "1"), ("$.l[1:]", "2"), ("$.l[-1]", "3"), ("$.l[-9]", None), ("$.l[5,1]", "2"), ("$['x','b']", "y"), ("$.l[::2]", "1"), ("$..d", "4"), ("$.l[*]", "1"),
+])
+def test_json_paths(spark, path, value):
+    rule = Rule("j@1", "j", 1, "jsonpath", {"paths": {"a": path}}, {"a": "a"})
+    df = spark.createDataFrame([('{"l":[1,2,3],"b":"y","c":{"d":4}}', "j@1")], "line string, v string")
+    row = RuleSet([rule]).parse_and_check(df, "line", "v").first()
+    assert row._error is None and row._values[0].value == value
+
+
+def test_unknown_json_path_is_an_error_of_its_rule(spark):
+    rules = [Rule("p@1", "p", 1, "jsonpath", {"paths": {"a": "$.l[?(@.x)]"}}, {"a": "a"}), Rule("q@1", "q", 1, "jsonpath", {"paths": {"a": "$.b"}}, {"a": "a"})]
+    df = spark.createDataFrame([('{"b":1}', "p@1"), ('{"b":2}', "q@1")], "line string, v string")
+    got = {r.v: r._error for r in RuleSet(rules).parse_and_check(df, "line", "v").collect()}
+    assert got == {"p@1": "Unsupported JSON path: $.l[?(@.x)]", "q@1": None}
+
+
+def test_arrival_has_no_ties(spark):
+    batch = spark.sql("SELECT 's' AS source_id, timestamp_ntz'2024-01-01 00:00:00' AS received_at, 'f' AS file_path, 0L AS block_start, 'same' AS line FROM range(5)")
+    events = build_raw_events(placed(batch))
+    assert events.select(arrival(events).alias("a")).distinct().count() == 5

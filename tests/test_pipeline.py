@@ -16,6 +16,7 @@ CHECKED = [
     "parse_leef2_ext", "parse_kv_quoted", "parse_xml_attr", "parse_error", "is_ip", "lint_nested_quantifier", "discovery_timeline", "route_canonical", "core_event",
     "provenance", "dead_letter", "events_page", "stats_overview", "job_progress", "latency_summary", "next_version", "catalog_snapshot_split", "register_sources",
     "rule_test_report", "auto_reprocess", "locked_pipeline", "stream_pipeline", "write_raw_vault", "read_log_lines",
+    "assign_trace_id", "repeated_lines_batch", "repeated_lines_stream", "repeated_lines_locked", "hostile_lines", "bad_rules", "discover_exact_dates", "jsonpath_slices",
 ]
 
 
