@@ -231,24 +231,37 @@ def links(distinct: DataFrame) -> DataFrame:
 
 # ---- groups
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable by links)."""
-    rows = cut_lineage(fingerprints(docs, id_col, text_col))
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written ``rows`` (id, fp): fingerprints (fp, n, root), and components (root, component_id: the smallest id, fps)."""
     distinct = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(links(distinct))
     known = cut_lineage(
         distinct.withColumn("node", label(F.col("fp"))).join(roots, "node", "left").select("fp", "low", "n", F.coalesce("root", "node").alias("root"))
     )
     lows = cut_lineage(known.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps")))
-    facts = cut_lineage(attach(known.select("fp", "n", "root"), lows, "root", "fps").select("fp", "n", "component_id"))
+    return known.select("fp", "n", "root"), lows
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable by links)."""
+    rows = cut_lineage(fingerprints(docs, id_col, text_col))
+    known, lows = grouped(rows)
+    facts = cut_lineage(attach(known, lows, "root", "fps").select("fp", "n", "component_id"))
     return attach(rows, facts, "fp", "n").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
-    groups = near_duplicates(docs, id_col, text_col)
-    keep = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_key(F.col(id_col)).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", id_key(F.col(id_col)))
-    return keyed.join(keep, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Rows are told apart by id and text digest, so null and repeated ids lose no component; null ids
+    lose against any id, and of equal ids the smallest digest stays.
+    """
+    sha = F.sha2(whole(F.col(text_col)), 256)
+    row = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), sha.alias("sha"))
+    rows = cut_lineage(fingerprints(docs.select(row.alias("__row"), F.col(text_col)), "__row", text_col))
+    keep = grouped(rows)[1].select(id_key(F.col("component_id.id")).alias("__id"), F.col("component_id.sha").alias("__sha"))
+    names = ["__id", "__sha"]
+    keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__sha": sha})
+    return keyed.join(keep, names, "left_semi").dropDuplicates(names).drop(*names)

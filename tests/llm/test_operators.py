@@ -285,3 +285,14 @@ T8 = P8[3:-4]
 ])
 def test_html_marks_of_elements(page, text):
     assert html_extract.main_text(page) == text
+
+
+def test_near_dedup_keeps_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abcdefg"]
+    a, b, c, d, e, f, g = texts
+    # Null ids and repeated ids with different texts; copies of them under other ids.
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (3, d), (None, e), (5, e), (None, f), (9, f), (9, g), (4, g)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    kept = simhash_golay.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (None, b), (7, c), (3, d), (5, e), (9, f), (4, g)])
