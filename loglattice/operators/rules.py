@@ -262,23 +262,17 @@ def check_one_active(rules: DataFrame) -> DataFrame:
 
 
 def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
-    """ACTIVE versions of ACTIVE rules as objects, oldest first.
+    """The :func:`active_rules` as objects for a rule set, oldest first.
 
     The catalogue is configuration: its size is checked before it is brought to the driver. A rule
     that fails the lint stays in the list with its ``defect``: discovery passes over it and events
     bound to it become dead letters with that text, while all other rules go on. ``rejected``
     lists such rules.
     """
-    active = rules.filter((F.col("status") == "ACTIVE") & (F.col("rule_status") == "ACTIVE"))
-    rows = active.limit(MAX_RULES + 1).collect()
+    rows = active_rules(rules).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} active rule versions")
-    newest: dict[str, Rule] = {}
-    for row in rows:
-        rule = Rule.from_row(row)
-        if rule.rule_id not in newest or newest[rule.rule_id].version < rule.version:
-            newest[rule.rule_id] = rule
-    chosen = sorted(newest.values(), key=lambda r: (r.created_at, r.rule_id))
+        raise ValueError(f"more than {MAX_RULES} active rules")
+    chosen = sorted((Rule.from_row(row) for row in rows), key=lambda r: (r.created_at, r.rule_id))
     if enforce_lint:
         chosen = [replace(rule, defect=rule_defect(rule, rules.sparkSession)) for rule in chosen]
     return chosen
@@ -287,3 +281,10 @@ def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
 def rejected(rules: list[Rule]) -> list[tuple[str, str]]:
     """(rule version, reason) of the loaded rules that may not run."""
     return [(rule.rule_version_id, rule.defect) for rule in rules if rule.defect]
+def active_rules(rules: DataFrame) -> DataFrame:
+    """The newest ACTIVE version of every ACTIVE rule, with all columns; a catalogue of any size."""
+    active = rules.filter((F.col("status") == "ACTIVE") & (F.col("rule_status") == "ACTIVE"))
+    newest = F.max_by(F.struct(*rules.columns), F.struct("version", "created_at", "rule_version_id"))
+    return active.groupBy("rule_id").agg(newest.alias("newest")).select("newest.*")
+
+

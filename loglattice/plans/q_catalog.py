@@ -11,7 +11,7 @@ from loglattice.operators import catalog, lock, onboarding, reports, reprocess
 from loglattice.operators.engine import RuleSet
 from loglattice.operators.parsers import Parser, register_parser
 from loglattice.operators.parsers.registry import found
-from loglattice.operators.rules import RULE_SCHEMA, Rule, check_one_active, load_rules, rules_frame
+from loglattice.operators.rules import RULE_SCHEMA, Rule, active_rules, check_one_active
 from loglattice.plans import fixtures as fx
 from loglattice.plans.q_events import V, processed
 from loglattice.plans.q_text import L, structure_sql
@@ -109,8 +109,7 @@ def _(spark, sf):
         "'{}' AS type_constraints", "'{}' AS masking_policy", "'core' AS target_schema", "'1.0' AS schema_version", "'' AS rule_hash", "timestamp'2024-01-01 00:00:00' AS created_at")
     rows.write.parquet(path)
     stored = spark.read.schema(RULE_SCHEMA).parquet(path)
-    loaded = load_rules(stored)
-    return rules_frame(spark, loaded).select("rule_version_id", "target_schema", "version")
+    return active_rules(stored).select("rule_version_id", "target_schema", "version")
 
 
 @query("latest_rule_version", f"SELECT c.rule_id, coalesce(v.version, 1) AS version, coalesce(v.target_schema, 'unknown') AS target_schema FROM (SELECT concat('rule-', cast(c_custkey as varchar)) AS rule_id FROM customer) c LEFT JOIN (SELECT rule_id, max(version) AS version, arg_max(target_schema, version) AS target_schema FROM {_VERS} GROUP BY 1) v USING (rule_id)")

@@ -10,7 +10,7 @@ from loglattice.operators.normalize import provenance_upsert
 from loglattice.operators.parsers.leef import leef_pairs
 from loglattice.operators.parsers.regex import java_pattern
 from loglattice.operators.pipeline import process_batch
-from loglattice.operators.rules import Rule, load_rules, pattern_hazard, rejected, rules_frame
+from loglattice.operators.rules import Rule, active_rules, load_rules, pattern_hazard, rejected, rules_frame
 from loglattice.plans import fixtures as fx
 from loglattice.session import lookup_join
 from loglattice.sources.lines import read_log_lines
@@ -155,3 +155,18 @@ def test_arrival_has_no_ties(spark):
     batch = spark.sql("SELECT 's' AS source_id, timestamp_ntz'2024-01-01 00:00:00' AS received_at, 'f' AS file_path, 0L AS block_start, 'same' AS line FROM range(5)")
     events = build_raw_events(placed(batch))
     assert events.select(arrival(events).alias("a")).distinct().count() == 5
+
+
+def test_catalogue_of_any_size(spark, tmp_path):
+    from loglattice.plans import QUERIES
+
+    rule = rules_frame(spark, [Rule("v", "r", 1, "cef", {}, {"src": "ip"})])
+    many = rule.crossJoin(spark.range(10_000)).withColumns({
+        "rule_id": F.expr("concat('r', id div 4)"), "rule_version_id": F.expr("concat('v', id)"), "version": F.expr("cast(id % 4 AS int)"),
+        "status": F.expr("if(id % 4 = 3, 'DRAFT', 'ACTIVE')")}).drop("id")
+    got = active_rules(many)
+    assert got.columns == many.columns and got.count() == got.select("rule_id").distinct().count() == 2500
+    assert got.filter("version <> 2 OR status <> 'ACTIVE'").isEmpty()
+    parts = spark.range(1, 30_001).selectExpr("id AS p_partkey", "'n' AS p_name", "cast(id % 50 + 1 AS int) AS p_size")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    assert QUERIES["read_catalog"](spark, str(tmp_path)).count() == parts.filter("p_size > 45").count() == 3000
