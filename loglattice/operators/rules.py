@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import warnings
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 MAX_RULE_CHARS = 100 * 1024
 NESTED_QUANTIFIER = r"\([^)]*[+*][^)]*\)[+*]|\[[^\]]*[+*][^\]]*\][+*]"
 
-# More rules than this do not belong in one broadcast catalogue; loading refuses.
+# More rules than this do not belong in one rule set; loading refuses. Tables of rules have no such limit.
 MAX_RULES = 2_000
 
 RULE_SCHEMA = (
@@ -147,46 +151,80 @@ def lint_rules(rules: DataFrame, definition: str = "parser_definition") -> DataF
     )
 
 
+@dataclass
+class _Alternative:
+    """What one alternative of a group may begin with, as atoms of the pattern."""
+
+    starts: list[str] = field(default_factory=list)
+    # Nothing in it so far takes a character for sure.
+    empty: bool = True
+
+
+@dataclass
+class _Group:
+    endless: bool = False
+    alternatives: list[_Alternative] = field(default_factory=lambda: [_Alternative()])
+    # Atoms that may be left out or repeated a few times.
+    optional: list[str] = field(default_factory=list)
+
+
 def pattern_hazard(pattern: str) -> str:
     """Why a backtracking matcher could blow up on the pattern; empty text if it cannot.
 
     Look-around and back-references are hazards, and so is an endless repetition of a group that
-    itself repeats without end, or that has alternatives which may begin with the same character.
-    Escapes and character classes are read as such, at any depth of groups.
+    itself repeats without end, or that has alternatives which may begin with the same character,
+    may be empty, or hold an optional part that may begin like an alternative. Escapes and
+    character classes are read as such and compared by the characters they match, at any depth.
     """
-    groups: list[dict] = [{"endless": False, "starts": [""]}]
+    groups: list[_Group] = [_Group()]
     i, n = 0, len(pattern)
-    closed: dict | None = None
-
-    def begins(text: str) -> None:
-        starts = groups[-1]["starts"]
-        starts[-1] = starts[-1] or text
+    closed: _Group | None = None
+    # What the atom just read may begin with, and whether its alternative could be empty before it.
+    last: tuple[list[str], bool] = ([], False)
+
+    def begins(starts: list[str], empty: bool = False) -> None:
+        nonlocal last
+        alternative = groups[-1].alternatives[-1]
+        last = (starts, alternative.empty)
+        if alternative.empty:
+            alternative.starts += starts
+            alternative.empty = empty
 
     while i < n:
         ch = pattern[i]
         endless = re.compile(r"[*+]|\{\d*,\}").match(pattern, i)
+        few = re.compile(r"\?|\{\d+,\d+\}|\{,\d+\}|\{0\}").match(pattern, i)
+        if few or endless and endless[0] != "+" and (i > 0 or ch == "{"):
+            if re.compile(r"[*?]|\{0*[,}]").match(pattern, i):
+                groups[-1].alternatives[-1].empty |= last[1]
+            groups[-1].optional += last[0]
         if endless and (i > 0 or ch == "{"):
-            if closed and (closed["endless"] or _may_share_start(closed["starts"])):
+            if closed and (closed.endless or _may_overlap(closed)):
                 return "repeats a group that already repeats or has overlapping alternatives"
-            groups[-1]["endless"] = True
+            groups[-1].endless = True
             i = endless.end()
             if pattern.startswith(("?", "+"), i):
                 i += 1
             closed = None
             continue
         often = re.compile(r"\{\d*,?\d{2,}\}").match(pattern, i)
-        if often and closed and closed["endless"]:
+        if often and closed and closed.endless:
             return "repeats a group that already repeats or has overlapping alternatives"
         closed = None
-        if ch == "\\":
+        if few:
+            i = few.end()
+            if pattern.startswith(("?", "+"), i):
+                i += 1
+        elif ch == "\\":
             if re.compile(r"\\[1-9]").match(pattern, i):
                 return "has a back-reference"
-            # An escaped mark is a plain character, an escaped letter stands for many.
-            begins(pattern[i + 1 : i + 2] if not pattern[i + 1 : i + 2].isalnum() else pattern[i : i + 2])
-            i += 2
+            atom = re.compile(r"\\(?:[pP]\{\w+\}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|x\{\w+\}|.?)", re.S).match(pattern, i)
+            if atom[0] not in _PLACES:
+                begins([atom[0]])
+            i = atom.end()
         elif ch == "[":
             end = _end_of_class(pattern, i)
-            begins("[]")
+            begins([pattern[i : end + 1]])
             i = end + 1
         elif ch == "(":
             if re.compile(r"\(\?(?:<?[=!])").match(pattern, i):
@@ -196,28 +234,52 @@ def pattern_hazard(pattern: str) -> str:
             if pattern.startswith("(?(", i):
                 return "has a conditional group"
             head = re.compile(r"\((?:\?P?<\w+>|\?[a-zA-Z-]*:?)?").match(pattern, i)
-            begins("()")
-            groups.append({"endless": False, "starts": [""]})
+            groups.append(_Group())
             i = head.end()
         elif ch == ")":
             if len(groups) > 1:
                 closed = groups.pop()
-                groups[-1]["endless"] |= closed["endless"]
+                groups[-1].endless |= closed.endless
+                groups[-1].optional += closed.optional
+                begins([s for a in closed.alternatives for s in a.starts], any(a.empty for a in closed.alternatives))
             i += 1
         elif ch == "|":
-            groups[-1]["starts"].append("")
+            groups[-1].alternatives.append(_Alternative())
             i += 1
         else:
-            if ch not in "^$?":
-                begins("any" if ch == "." else ch)
+            if ch not in "^$":
+                begins([ch if ch == "." else re.escape(ch)])
             i += 1
     return ""
 
 
-def _may_share_start(starts: list[str]) -> bool:
-    """True unless the alternatives of a group begin with different plain characters."""
-    plain = [s.lower() for s in starts]
-    return len(starts) > 1 and (any(len(s) != 1 for s in plain) or len(set(plain)) < len(plain))
+# Escapes that match a place, not a character.
+_PLACES = frozenset((r"\b", r"\B", r"\A", r"\Z", r"\z", r"\G"))
+
+
+def _may_overlap(group: _Group) -> bool:
+    """Whether one text may be read by a repeated group's alternatives in several ways, judged by first characters."""
+    if len(group.alternatives) < 2:
+        return False
+    if any(a.empty for a in group.alternatives):
+        return True
+    firsts = [np.any([_characters(s) for s in a.starts], axis=0) for a in group.alternatives]
+    times = np.sum(firsts, axis=0)
+    return bool((times > 1).any()) or any((_characters(atom) & (times > 0)).any() for atom in group.optional)
+
+
+@lru_cache(maxsize=32)
+def _characters(atom: str) -> np.ndarray:
+    """A flag per code point: whether an atom may match it in either case; all where Python cannot read the atom."""
+    flags = np.zeros(sys.maxunicode + 1, bool)
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            found = re.findall(atom, "".join(map(chr, range(len(flags)))), re.S | re.I)
+    except re.error:
+        return ~flags
+    flags[np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+    return flags
 
 
 def _end_of_class(pattern: str, start: int) -> int:
@@ -261,10 +323,17 @@ def check_one_active(rules: DataFrame) -> DataFrame:
     return rules.groupBy("rule_id").agg(active).filter("active_versions > 1")
 
 
+def active_rules(rules: DataFrame) -> DataFrame:
+    """The newest ACTIVE version of every ACTIVE rule, with all columns; a catalogue of any size."""
+    active = rules.filter((F.col("status") == "ACTIVE") & (F.col("rule_status") == "ACTIVE"))
+    newest = F.max_by(F.struct(*rules.columns), F.struct("version", "created_at", "rule_version_id"))
+    return active.groupBy("rule_id").agg(newest.alias("newest")).select("newest.*")
+
+
 def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
     """The :func:`active_rules` as objects for a rule set, oldest first.
 
-    The catalogue is configuration: its size is checked before it is brought to the driver. A rule
+    A rule set is configuration: its size is checked before it is brought to the driver. A rule
     that fails the lint stays in the list with its ``defect``: discovery passes over it and events
     bound to it become dead letters with that text, while all other rules go on. ``rejected``
     lists such rules.
@@ -281,10 +350,3 @@ def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
 def rejected(rules: list[Rule]) -> list[tuple[str, str]]:
     """(rule version, reason) of the loaded rules that may not run."""
     return [(rule.rule_version_id, rule.defect) for rule in rules if rule.defect]
-def active_rules(rules: DataFrame) -> DataFrame:
-    """The newest ACTIVE version of every ACTIVE rule, with all columns; a catalogue of any size."""
-    active = rules.filter((F.col("status") == "ACTIVE") & (F.col("rule_status") == "ACTIVE"))
-    newest = F.max_by(F.struct(*rules.columns), F.struct("version", "created_at", "rule_version_id"))
-    return active.groupBy("rule_id").agg(newest.alias("newest")).select("newest.*")
-
-

@@ -92,6 +92,15 @@ def test_pattern_hazard(pattern, hazard):
     assert bool(pattern_hazard(pattern)) is hazard
 
 
+@pytest.mark.parametrize(("pattern", "hazard"), [
+    (r'^"(?:\\.|[^"\\])*"$', False), (r"^(?:\d|-)+$", False), (r"(?:\w|\s|-)*", False), (r"(?:[a-f]|[g-z])*", False), (r"(?:(?:a|b)c|x)+", False), (r"(?:ab?|c)+", False),
+    (r'"(?:\\.|[^"])*"', True), (r"(?:\w|\d-)+", True), (r"(?:[a-f]|F)*", True), (r"(?:\d|-\d?)+", True), (r"(?:a?b|b)+", True), (r"(?:a|)+", True), (r"(?:k|\p{L})+", True),
+])
+def test_alternatives_are_compared_by_their_characters(spark, pattern, hazard):
+    rule, = load_rules(rules_frame(spark, [Rule("v", "r", 1, "regex", {"pattern": pattern}, {"x": "x"})]))
+    assert bool(rule.defect) is hazard
+
+
 @pytest.mark.parametrize("mode", ["native", "exact"])
 def test_dates_count_in_discovery(spark, mode):
     rule = Rule("d@1", "d", 1, "keyvalue", {"delimiter": " ", "kv_separator": "="}, {"t": "event_time", "n": "n"}, ["event_time"], {"event_time": "datetime"})
