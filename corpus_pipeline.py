@@ -30,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream in order of position; documents taken twice stand twice."""
-    return curriculum.mix(docs)
+    """The training stream in order of position; documents taken twice stand twice, and all are whole."""
+    return curriculum.mix(docs, in_part=False)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,10 +112,11 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return facts.orderBy(F.col("first_position").asc_nulls_last(), F.col(id_col))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str | None = "n_chars", in_part: bool = True) -> DataFrame:
     """The training stream: documents with all their columns, once per pass that takes them, in order of position.
 
-    A document taken in part keeps its first words.
+    A document taken in part keeps its first words; without ``in_part`` it stays whole, so a source
+    goes beyond its target by less than one document.
     """
     rows = assign(docs, id_col, text_col, source_col)
     passes = F.array(*[F.struct(F.col(f"_at{t}").alias("at"), F.col(f"_taken{t}").alias("n")) for t in range(MAX_REPEAT)])
@@ -124,6 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = ["__id", "__source", "__sha"]
     keyed = docs.withColumns({"__id": id_key(F.col(id_col)), "__source": id_key(F.col(source_col)), "__sha": F.sha2(whole(F.col(text_col)), 256)})
     stream = keyed.dropDuplicates(names).join(turns, names).withColumn("__at", F.col("__turn.at"))
+    if not in_part:
+        return stream.orderBy("__at", id_col).select(*docs.columns)
     text = whole(F.col(text_col))
     part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("__turn.n").cast("int")), "")
     cut = F.when(F.col("__turn.n") < F.col("__size"), part).otherwise(F.col(text_col))

@@ -296,3 +296,14 @@ def test_near_dedup_keeps_null_and_repeated_ids(spark):
     kept = simhash_golay.keep_one(df)
     assert kept.columns == df.columns
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (None, b), (7, c), (3, d), (5, e), (9, f), (4, g)])
+
+
+def test_mixing_stage_keeps_documents_whole(spark):
+    import corpus_pipeline
+
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = {r.doc_id: r for r in curriculum.mixture(df).collect() if r.taken}
+    texts = dict(texts_of(df))
+    stream = texts_of(corpus_pipeline.mixing(spark, df, SF))
+    assert any(r.taken % r.size for r in plan.values()) and all(t == texts[d] for d, t in stream)
+    assert Counter(d for d, _ in stream) == {d: -(-r.taken // r.size) for d, r in plan.items()}
