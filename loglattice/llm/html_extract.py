@@ -8,7 +8,9 @@ section (an article, or the page around it); on equal distance the earlier one c
 without any decided block follows its kind: an article is good, anything else bad.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags are tolerated, and
-a comment, script or style without end runs to the end of the page. Rows are independent; an empty
+a comment, script or style without end runs to the end of the page. Other hidden elements without
+end are tags like any other, and of a head only hidden elements go: its text belongs to the body, as
+in browsers; a title without end hides the text up to the next tag. Rows are independent; an empty
 table stays empty; other columns are not read.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from loglattice.llm.common import whole
 
 # Kinds of elements, marks in class or id, and stop words of four languages.
-HIDDEN = "script|style|noscript|template|svg|iframe|object|select|textarea|title|head"
+HIDDEN = "script|style|noscript|template|svg|iframe|object|select|textarea|title"
+TO_THE_END = frozenset(("script", "style"))
 FURNITURE = frozenset(("nav", "footer", "aside", "form", "menu", "dialog", "button", "header"))
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = FURNITURE | ARTICLE | {"div", "section", "ul", "ol", "dl", "table", "body"}
@@ -50,7 +54,8 @@ LONG, SHORT = 140, 50
 LINKED, STOP_HIGH, STOP_LOW = 0.5, 0.25, 0.08
 
 TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+    rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S | re.I)
+CLOSING = re.compile(rf"</({HIDDEN})\s*>", re.I)
 
 
 @dataclass
@@ -74,6 +79,20 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(MARKS.search(TITLE_MARKS.sub("", attributes) if in_article else attributes))
 
 
+def hidden_end(page: str, name: str, begin: int, closings: dict[str, list[tuple[int, int]]]) -> int:
+    """Where a hidden element ends whose content begins at ``begin``."""
+    places = closings.get(name, [])
+    k = bisect_left(places, (begin,))
+    if k < len(places):
+        return places[k][1]
+    if name in TO_THE_END:
+        return len(page)
+    if name == "title":
+        following = page.find("<", begin)
+        return len(page) if following < 0 else following
+    return begin
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order, white space settled, character references decoded."""
     found: list[Block] = []
@@ -97,9 +116,16 @@ def blocks_of(page: str) -> list[Block]:
             state["linked"] += len("".join(html.unescape(text).split()))
 
     at = 0
-    for m in TOKENS.finditer(page):
+    # Where hidden elements of each name end, in page order.
+    closings: dict[str, list[tuple[int, int]]] = {}
+    for c in CLOSING.finditer(page):
+        closings.setdefault(c[1].lower(), []).append(c.span())
+    while m := TOKENS.search(page, at):
         take(page[at : m.start()])
         at = m.end()
+        if m[1]:
+            at = m.end() if m[0].endswith("/>") else hidden_end(page, m[1].lower(), m.end(), closings)
+            continue
         tag = (m[3] or "").lower()
         if tag in BLOCKS:
             close()

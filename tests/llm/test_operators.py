@@ -307,3 +307,25 @@ def test_mixing_stage_keeps_documents_whole(spark):
     stream = texts_of(corpus_pipeline.mixing(spark, df, SF))
     assert any(r.taken % r.size for r in plan.values()) and all(t == texts[d] for d, t in stream)
     assert Counter(d for d, _ in stream) == {d: -(-r.taken // r.size) for d, r in plan.items()}
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<html><head><title>A title</title><meta charset=utf-8><style>p {{}}</style><body><article>{P8}</article></body></html>", T8),
+    (f"<head><title>A title</title><article>{P8}</article>", T8),
+    (f"<head><title>A title<article>{P8}</article>", T8),
+    (f"<head><script>let a = '<p>'</script></head><body><article>{P8}</article>", T8),
+    *[(f"<body><article><{tag}>{P8}</article>", T8) for tag in ("object", "iframe", "select", "noscript", "svg", "template", "textarea")],
+    (f"<article>{P8}<noscript>{P8}</noscript><svg/><object data='x'>{P8}</object>{P8}<select>{P8}", f"{T8}\n{T8}\n{T8}"),
+    (f"<article>{P8}<script>{P8}</article>", T8),
+    (f"<article>{P8}<script src='a>b'>{P8}</script>", T8),
+])
+def test_html_elements_without_end(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_html_many_open_elements_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert html_extract.main_text("<article>" + "<object>" * 200_000 + P8) == T8
+    assert time.perf_counter() - start < 20
