@@ -18,6 +18,8 @@ alike, so repeated rows agree. An empty table stays empty. Other columns are not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,21 +29,25 @@ from loglattice.session import cut_lineage
 KEY = "public-demo-key"
 LENGTHEN, MAX_ATTEMPTS = 8, 64
 # Entity patterns. Names count after a title, which is part of the entity and tells the gender.
+# A word of a name has inner capitals, apostrophes (not those of 's, 'd, 'll) and hyphens; initials stand before it or between two.
+PREFIX = r"(?:sk|pk|ghp|gho|xox[bp])[-_]"
+NAME_WORD = r"\p{Lu}(?:(?:['’](?=\p{Lu}|\p{Ll}{3})|-(?=\p{Lu}))?[\p{L}\p{M}])+"
+NAME = rf"(?:\p{{Lu}}[.] ?|\p{{Lu}} )*{NAME_WORD}(?:(?: \p{{Lu}}[.]?)* {NAME_WORD})?"
 TYPES = [
     ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
     ("aws_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("secret", r"(?<=[\"'=: ])(?:[0-9a-f]{32,128}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,128})\b"),
+    ("secret", rf"(?<![A-Za-z0-9_])(?:[0-9a-f]{{32,128}}|{PREFIX}[A-Za-z0-9_-]{{16,128}})\b"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("card", r"(?<![0-9-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9-])"),
     ("phone", r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z(])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])"),
-    ("name_f", r"\b(?:Mrs[.]?|Ms[.]?|Frau|Madame|Mme|Señora|Sra[.]?) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
-    ("name_m", r"\b(?:Mr[.]?|Herrn?|Monsieur|Señor|Sr[.]?) \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"),
+    ("name_f", rf"\b(?:Mrs[.]?|Ms[.]?|Frau|Madame|Mme|Señora|Sra[.]?) {NAME}"),
+    ("name_m", rf"\b(?:Mr[.]?|Herrn?|Monsieur|Señor|Sr[.]?) {NAME}"),
 ]
 ENTITY = "|".join(f"(?:{p})" for _, p in TYPES)
-# Every entity has one of these; texts without are passed by at once.
-CHEAP = r"[@0-9]|\b(?:Mrs?|Ms|Mme|Frau|Herrn?|Madame|Monsieur|Señora?|Sra?)\b"
+# Every entity has one of these (keys and hex secrets may be letters only); texts without are passed by at once.
+CHEAP = rf"[@0-9]|{PREFIX}|AKIA|ASIA|[a-f]{{32}}|\b(?:Mrs?|Ms|Mme|Frau|Herrn?|Madame|Monsieur|Señora?|Sra?)\b"
 # Given names by gender for Latin script; names of other scripts are drawn letter by letter.
 GIVEN = {
     "name_f": ["Anna", "Clara", "Elena", "Emma", "Eva", "Hanna", "Ines", "Julia", "Laura", "Lena", "Maria", "Marta", "Nora", "Olga", "Paula", "Rosa", "Sara", "Sofia"],
@@ -54,7 +60,7 @@ ALPHABETS = [("0", "9"), ("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("
 def kind_of(entity: Column) -> Column:
     """The type of a found entity, by its shape."""
     found = F.when(entity.contains("@"), "email").when(entity.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"), "aws_key")
-    found = found.when(entity.rlike(r"^(?:[0-9a-f]{32,128}|(?:sk|pk|ghp|gho|xox[bp])[-_].*)$"), "secret").when(entity.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), "iban")
+    found = found.when(entity.rlike(rf"^(?:[0-9a-f]{{32,128}}|{PREFIX}.*)$"), "secret").when(entity.rlike(r"^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), "iban")
     found = found.when(entity.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip").when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
     found = found.when(entity.rlike(r"^(?:[0-9]{4}[ -]?){3}[0-9]{1,7}$"), "card").when(entity.rlike(r"^[+(0-9]"), "phone")
     return found.when(entity.rlike(r"^(?:Mrs|Ms|Frau|Madame|Mme|Señora|Sra)"), "name_f").otherwise("name_m")
@@ -93,6 +99,16 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(weighed, F.lit(0), lambda a, x: a + x)
 
 
+def first_name_of(given: list[str]) -> Callable[[Column], Column]:
+    """A candidate for a given name; initials and names of other scripts are drawn letter by letter."""
+    def draw(name: Column) -> Column:
+        digest = draws(F.lit("given"), name)
+        drawn = F.get(F.array(*[F.lit(g) for g in given]), number_at(digest, F.lit(0), F.lit(len(given))))
+        return F.when(name.rlike(r"^\p{IsLatin}") & ~name.rlike(r"^\p{Lu}$|[.]$"), drawn).otherwise(like(name, digest))
+
+    return draw
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column) -> Column:
     """A candidate for one entity of one type."""
     digest = draws(kind, entity, attempt.cast("string"))
@@ -117,11 +133,11 @@ def surrogate(kind: Column, entity: Column, attempt: Column) -> Column:
     out = out.when(kind == "iban", iban).when(kind == "secret", hexes)
     title, last = F.substring_index(entity, " ", 1), F.element_at(F.split(entity, " "), -1)
     surname = like(last, draws(F.lit("surname"), last, attempt.cast("string")))
-    middle = F.get(F.split(entity, " "), F.lit(1))
+    # Given names and initials between title and last word.
+    middles = F.slice(F.split(entity, " "), F.lit(2), F.greatest(F.size(F.split(entity, " ")) - 2, F.lit(0)))
     for gender, given in GIVEN.items():
-        first_name = F.get(F.array(*[F.lit(g) for g in given]), number_at(draws(F.lit("given"), middle), F.lit(0), F.lit(len(given))))
-        first_name = F.when(middle.rlike(r"^\p{IsLatin}"), first_name).otherwise(like(middle, draws(F.lit("given"), middle)))
-        out = out.when(kind == gender, F.when(F.size(F.split(entity, " ")) > 2, F.concat_ws(" ", title, first_name, surname)).otherwise(F.concat_ws(" ", title, surname)))
+        named = F.concat_ws(" ", title, F.array_join(F.transform(middles, first_name_of(given)), " "), surname)
+        out = out.when(kind == gender, F.when(F.size(F.split(entity, " ")) > 2, named).otherwise(F.concat_ws(" ", title, surname)))
     out = out.otherwise(shaped)
     grown = F.when(kind.isin("email", "secret"), F.concat(F.substring(digest, F.lit(1), attempt - LENGTHEN + 1), out))
     grown = grown.when(kind.startswith("name"), F.concat(out, F.translate(F.substring(digest, F.lit(1), attempt - LENGTHEN + 1), "0123456789", "ghijklmnop")))

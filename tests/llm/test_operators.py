@@ -309,6 +309,23 @@ def test_mixing_stage_keeps_documents_whole(spark):
     assert Counter(d for d, _ in stream) == {d: -(-r.taken // r.size) for d, r in plan.items()}
 
 
+def test_entities_of_letters_only_and_whole_names(spark):
+    token, hexes, aws = "sk_" + "abcdefghijklmnopqrst", "abcdefabcdefabcdefabcdefabcdefab", "AKIA" + "ABCDEFGHIJKLMNOP"
+    places = ["{}", "a\n{}", "a\t{}", "`{}`", "[{}]", "a,{} b", "key={} 1", "a ({})", "x/{}"]
+    rows = [p.format(x) for x in (token, hexes, aws, "xoxb-" + "q" * 20) for p in places]
+    rows += [f"{t} {n} said so." for t, n in [("Mr.", "McDonald"), ("Mr.", "John F. Kennedy"), ("Frau", "Müller-Lenz"), ("Mrs.", "O'Brien"), ("Mr.", "J. R. Tolkien"), ("Mme", "Anne-Marie D’Artagnan"), ("Mr.", "John F Kennedy"), ("Herr", "SCHMIDT")]]
+    rows += ["Mr. McDonald's cat and Mr. McDonald. The end.", "desk_abcdefghijklmnopqrst"]
+    got = [(r.doc_id, r.text, r.n_entities) for r in surrogates.pseudonymize(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [n for _, _, n in got] == [1] * (len(rows) - 2) + [2, 0]
+    new = [t for _, t, _ in got]
+    for old in (token, hexes, aws, "qqqq", "McDonald", "Donald", "Kennedy", "Lenz", "ller", "Brien", "Tolkien", "Artagnan", "Marie", "SCHMIDT"):
+        assert not any(old in t for t in new[:-1]), old
+    assert len({re.search("sk_[a-z]{20}", t)[0] for t in new[: len(places)]}) == 1
+    name, again = re.fullmatch(r"Mr\. (\w+)'s cat and Mr\. (\w+)\. The end\.", new[-2]).groups()
+    assert name == again and re.fullmatch(r"Mr\. \w+ \p{Lu}\. \w+ said so\.".replace(r"\p{Lu}", "[A-Z]"), new[len(places) * 4 + 1])
+    assert re.fullmatch(r"Mrs\. [A-Z]'[A-Z][a-z]{4} said so\.", new[len(places) * 4 + 3]) and new[-1] == rows[-1]
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (f"<html><head><title>A title</title><meta charset=utf-8><style>p {{}}</style><body><article>{P8}</article></body></html>", T8),
     (f"<head><title>A title</title><article>{P8}</article>", T8),
