@@ -365,7 +365,7 @@ def _streamed(spark, sf, container=None):
 def _(spark, sf):
     path = _streamed(spark, sf)
     out = None
-    for name in ("normalized", "unresolved"):
+    for name in ("normalized", "unresolved", "dead_letter"):
         row = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/out/{name}").agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out.filter("n > 0")

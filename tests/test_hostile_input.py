@@ -179,3 +179,14 @@ def test_catalogue_of_any_size(spark, tmp_path):
     parts = spark.range(1, 30_001).selectExpr("id AS p_partkey", "'n' AS p_name", "cast(id % 50 + 1 AS int) AS p_size")
     parts.write.parquet(f"{tmp_path}/part.parquet")
     assert QUERIES["read_catalog"](spark, str(tmp_path)).count() == parts.filter("p_size > 45").count() == 3000
+
+
+def test_stream_query_counts_dead_letters(spark, tmp_path, monkeypatch):
+    from loglattice.plans import QUERIES, q_catalog
+    from loglattice.sources.results import SCHEMAS
+
+    for n, name in enumerate(("normalized", "unresolved", "dead_letter")):
+        spark.range(n).select(F.lit("t").alias("trace_id")).write.parquet(f"{tmp_path}/out/{name}")
+        assert "trace_id string" in SCHEMAS[name]
+    monkeypatch.setattr(q_catalog, "_streamed", lambda spark, sf: str(tmp_path))
+    assert {r.outcome: r.n for r in QUERIES["stream_pipeline"](spark, SF).collect()} == {"unresolved": 1, "dead_letter": 2}
