@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity, url_cascade
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -126,3 +126,29 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# Rules of the registered query: (verdict, host, path).
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+OP11_SQL = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rules(v, h, pa) AS (VALUES {_RULE_ROWS}),
+fit AS (
+  SELECT r, max_by(h || pa, length(h || pa)) AS rule, max_by(v, length(h || pa)) AS v
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pa) GROUP BY r),
+hosts AS (
+  SELECT DISTINCT host AS h FROM p WHERE len(list_filter(regexp_split_to_array(host, '[.-]'), lambda w: w IN {url_cascade.BLOCKED_WORDS})) > 0),
+hit AS (SELECT DISTINCT r FROM p JOIN hosts ON host = h OR ends_with(host, '.' || h))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN hit.r IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
+"""
+
+
+@query("op11_url_cascade", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_cascade.judge_urls(pages, url_cascade.rule_table(spark, URL_RULES), url_cascade.listed_hosts(pages))
