@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity, url_cascade
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity, turn_repair, url_cascade
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -152,3 +152,59 @@ FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_cascade.judge_urls(pages, url_cascade.rule_table(spark, URL_RULES), url_cascade.listed_hosts(pages))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text in SQL: one step per bit, the lowest bit of each byte first."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda p: list_transform(range(8), lambda b: (ascii(({text})[p]) >> b) & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {bits}), lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"
+
+
+_NAMED = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql(_NAMED)} % 20 AS kind FROM conversations),
+e AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM e),
+f AS (
+  SELECT conv_id, turn, role, text, i, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+edit(q, initial, letter, cost, q2, name) AS (VALUES
+  (0, 's', 'K', 0, 1, NULL), (0, 'u', 'K', 0, 2, NULL), (1, 'u', 'K', 0, 2, NULL), (3, 'u', 'K', 0, 2, NULL), (2, 'a', 'K', 0, 3, NULL),
+  (0, NULL, 'R', 3, 2, 'user'), (1, NULL, 'R', 3, 2, 'user'), (3, NULL, 'R', 3, 2, 'user'), (2, NULL, 'R', 3, 3, 'assistant'),
+  (0, NULL, 'D', 4, 0, NULL), (1, NULL, 'D', 4, 1, NULL), (2, NULL, 'D', 4, 2, NULL), (3, NULL, 'D', 4, 3, NULL)),
+ins(q, n, q1, lines) AS (VALUES
+  (0, 0, 0, CAST([] AS VARCHAR[])), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []), (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (2, 1, 3, ['assistant:']),
+  (3, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (2, 2, 2, ['assistant:', 'user:']), (3, 2, 3, ['user:', 'assistant:'])),
+dp AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, {{'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS way FROM f
+  UNION ALL
+  SELECT dp.conv_id, f.i, edit.q2,
+         min({{'cost': way.cost + 3 * ins.n + edit.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END, 'audit': way.audit || repeat('I', ins.n) || letter,
+               'lines': list_concat(list_concat(way.lines, ins.lines), CASE letter WHEN 'K' THEN [f.role || ':' || f.text] WHEN 'R' THEN [edit.name || ':' || f.text] ELSE [] END)}})
+  FROM dp JOIN ins ON ins.q = dp.q JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1
+       JOIN edit ON edit.q = ins.q1 AND (edit.initial IS NULL OR edit.initial = f.initial) AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate'))
+  GROUP BY dp.conv_id, f.i, edit.q2),
+sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank,
+         count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+best AS (
+  SELECT dp.conv_id, min({{'cost': way.cost + 3 * ins.n, 'audit': way.audit || repeat('I', ins.n), 'lines': list_concat(way.lines, ins.lines)}}) AS w
+  FROM dp JOIN sums ON dp.conv_id IS NOT DISTINCT FROM sums.conv_id AND dp.i = sums.n JOIN ins ON ins.q = dp.q AND ins.q1 IN (0, 3) GROUP BY dp.conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+       coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+     LEFT JOIN sums ON c.conv_id IS NOT DISTINCT FROM sums.conv_id LEFT JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+@query("op12_turn_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
