@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity, turn_repair, url_cascade
+from loglattice.llm import chunk_dedup, curriculum, html_extract, line_rules, piece_codec, simhash_golay, suffix_dedup, surrogates, token_transducer, toxicity, turn_repair, turn_trie, url_cascade
 from loglattice.llm.common import table
 from loglattice.llm.registry import query
 
@@ -171,9 +171,11 @@ e AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM e),
 f AS (
   SELECT conv_id, turn, role, text, i, role[1] AS initial, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
               WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
 edit(q, initial, letter, cost, q2, name) AS (VALUES
   (0, 's', 'K', 0, 1, NULL), (0, 'u', 'K', 0, 2, NULL), (1, 'u', 'K', 0, 2, NULL), (3, 'u', 'K', 0, 2, NULL), (2, 'a', 'K', 0, 3, NULL),
   (0, NULL, 'R', 3, 2, 'user'), (1, NULL, 'R', 3, 2, 'user'), (3, NULL, 'R', 3, 2, 'user'), (2, NULL, 'R', 3, 3, 'assistant'),
@@ -208,3 +210,29 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 @query("op12_turn_repair", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = rf"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos FROM conversations),
+k AS (SELECT c, {crc32_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+heads AS (SELECT k.c, list({{'role': o.role, 'text': o.text}} ORDER BY pos) AS s FROM k JOIN o ON o.c = k.c - k.c % 20 AND o.pos < k.h GROUP BY k.c),
+tails AS (SELECT k.c, list({{'role': o.role, 'text': o.text}} ORDER BY pos) AS s FROM k JOIN o ON o.c = k.c AND o.pos >= k.h GROUP BY k.c),
+r AS (SELECT k.c, list_concat(coalesce(heads.s, []), coalesce(tails.s, [])) AS s FROM k LEFT JOIN heads USING (c) LEFT JOIN tails USING (c)),
+p AS (SELECT c, s[1:d] AS node, d, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ends FROM p GROUP BY node, d),
+kids AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+m AS (
+  SELECT n.node, d, n_children IS NULL AS leaf, CASE WHEN d > 0 THEN (n_convs - 1) * len(regexp_extract_all(n.node[d].text, '{DUCK_WORD}')) ELSE 0 END AS saved
+  FROM n LEFT JOIN kids USING (node)),
+sub AS (SELECT node[1:e] AS node, count_if(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM m) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n LEFT JOIN kids USING (node) JOIN sub USING (node) LEFT JOIN n up ON n.d > 0 AND up.node = n.node[1:n.d - 1]
+"""
+
+
+@query("op13_turn_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from loglattice.llm import turn_repair
+from loglattice.llm import turn_repair, turn_trie
 
 CONVERSATION = "conv_id long, turn long, role string, text string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -111,3 +111,47 @@ def test_long_conversation_takes_bounded_work():
     rows = [(rng.choice([0, 0, 0, 1, 2]), rng.choice("uuaas")) for _ in range(turn_repair.CHUNK_ROWS)]
     cost, audit = turn_repair.search(rows)
     assert len(audit.replace("I", "")) == len(rows) and cost >= turn_repair.least_costs(rows)[0]
+
+
+def brute_trie(rows, family=20, shared=4):
+    """Nodes as tuples of (role, text), straight from the definition."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(g)] for c, g in own.items()}
+    whole = {}
+    for conv, group in own.items():
+        h = zlib.crc32(str(conv).encode()) % shared
+        whole[conv] = own.get(conv - conv % family, [])[:h] + group[h:]
+    members = defaultdict(list)
+    for conv, group in whole.items():
+        for d in range(len(group) + 1):
+            members[tuple(group[:d])].append(conv)
+    children = defaultdict(list)
+    for node in members:
+        if node:
+            children[node[:-1]].append(node)
+    out = []
+    for node, convs in members.items():
+        subtree = [m for m in members if m[: len(node)] == node]
+        saved = sum((len(members[m]) - 1) * len(re.findall("[^\x20\x09-\x0d]+", m[-1][1])) for m in subtree if m)
+        ends = sorted(c for c in convs if len(whole[c]) == len(node))
+        out.append((
+            min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs), len(children[node]), sum(not children[m] for m in subtree), saved,
+            hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest(),
+        ))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize(("band_turns", "block_cells"), [(512, 1 << 20), (512, 6), (2, 1 << 20), (3, 5)])
+def test_trie_matches_brute_force(spark, band_turns, block_cells):
+    rng = random.Random(band_turns * block_cells)
+    rows = []
+    for conv in rng.sample(range(400), 90):
+        start = rng.choice([[], ["Hi", "Yes?"], ["Hi", "Yes?", "one two"]])
+        for turn, text in enumerate(start + [rng.choice(["a b", "c", "d e f", "", None]) for _ in range(rng.randrange(1, 7))]):
+            rows.append((conv, None if turn == 0 and rng.random() < 0.1 else turn, rng.choice(["user", None]) if rng.random() < 0.1 else "user", text))
+    rows += [(20_000 + i, 0, "user", "the same") for i in range(30)] + [(21_000, 3, None, "w " * 30_000)]
+    df = spark.createDataFrame(rows, CONVERSATION).withColumns({"conv": F.lit(1), "band": F.lit("x"), "key": F.lit(2), "words": F.lit("w")}).repartition(5)
+    got = sorted((tuple(r) for r in turn_trie.prefix_trie(df, band_turns=band_turns, block_cells=block_cells).collect()), key=repr)
+    assert got == brute_trie(rows)
