@@ -7,7 +7,7 @@ admissible estimate of what the remaining rows cost at least, and keeps a transp
 states with the cost they are known to need; so the first accepting path is the cheapest, and of equally
 cheap ones the least in ASCII order. Which role an inserted or reroled turn takes follows from the state.
 
-Conversations of up to ``CHUNK_ROWS`` rows are searched whole, each inside one task. A longer one is cut
+Conversations of up to ``WHOLE_ROWS`` rows are searched whole, each inside one task. A longer one is cut
 into chunks; each chunk is searched for every pair of entry and exit state, the tables of costs compose in
 a tree of bounded fan-in (inserts at a border belong to the later chunk, so no chunk's edits begin another's
 and the order of whole audits follows from the order inside the first chunk that differs), and the chosen
@@ -36,7 +36,8 @@ from loglattice.llm.common import id_key
 from loglattice.operators.ranking import number_rows
 from loglattice.session import lookup_join, written
 
-CHUNK_ROWS, FAN_IN = 256, 64
+# Rows of a conversation that is searched whole, of a chunk of a longer one, and children of a node of the tree.
+WHOLE_ROWS, CHUNK_ROWS, FAN_IN = 1000, 128, 64
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
 NEVER = 1 << 40
 # States: nothing yet, after s, after u, after a. A conversation ends in the first or the last.
@@ -55,18 +56,22 @@ Row = tuple[int, str]  # fault (FINE, FORCED: must go, CUT: truncated), role ini
 def least_costs(rows: list[Row]) -> list[int]:
     """Per position what the rows from there on cost at least.
 
-    Rows that must go cost a deletion, truncated ones their penalty. One edit mends at most two bad
-    neighbourhoods of the rows that may stay; it costs 3 more, or 1 more where it deletes a truncated row.
+    Rows that must go cost a deletion, truncated ones their penalty. Of the neighbourhoods of the rows
+    that may stay, one edit touches two at most, and these lie side by side: a run of k bad ones needs
+    k / 2 edits, and runs share none. An edit costs 3 more, or 1 more where it deletes a truncated row.
     """
-    costs, sure, cut, bad, following = [0], 0, 0, 0, ""
+    costs, sure, cut, run, behind, following = [0], 0, 0, 0, 0, ""
     for fault, initial in reversed(rows):
         if fault == FORCED:
             sure += DELETE
         else:
             sure, cut = sure + TRUNCATED * (fault == CUT), cut + (fault == CUT)
-            bad += bool(following) and initial + following not in LEGAL
+            if following and initial + following not in LEGAL:
+                run += 1
+            else:
+                run, behind = 0, behind + (run + 1) // 2
             following = initial or "?"
-        edits = -(-bad // 2)
+        edits = behind + (run + 1) // 2
         cheap = min(cut, edits)
         costs.append(sure + cheap * (DELETE - TRUNCATED) + (edits - cheap) * min(INSERT, REROLE))
     return costs[::-1]
@@ -79,6 +84,7 @@ def search(rows: list[Row], entry: int = START, goal: tuple[int, ...] = ACCEPTIN
     """
     n, estimate, known, path = len(rows), least_costs(rows), {}, []
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * n + 4000))
+    furthest = AFTER_U if set(goal) & {AFTER_U, AFTER_A} else max(goal)  # states lead to later ones only, but for the last two
 
     def needs(i: int, state: int, left: int) -> int:
         """0 when a path within ``left`` is found (its edits are in ``path``, last first), else more than ``left``."""
@@ -101,6 +107,8 @@ def search(rows: list[Row], entry: int = START, goal: tuple[int, ...] = ACCEPTIN
                 moves.append(("K", penalty, i + 1, kept))
             moves.append(("R", REROLE + penalty, i + 1, FREE[state]))
         for letter, cost, j, following in moves:
+            if min(following, AFTER_U) > furthest:
+                continue
             need = needs(j, following, left - cost)
             if need <= left - cost:
                 path.append(letter)
@@ -359,10 +367,10 @@ def _long_conversations(rows: DataFrame, chunk_rows: int) -> DataFrame:
     )
 
 
-def repair(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def repair(rows: DataFrame, whole_rows: int = WHOLE_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per conversation with rows (conv, turn, role, text, copy): faults, cost, edits and digest of the repaired turns."""
     judged = with_faults(rows)
-    large = written(rows.groupBy("conv").count().filter(F.col("count") > chunk_rows).select("conv"), "long")
+    large = written(rows.groupBy("conv").count().filter(F.col("count") > whole_rows).select("conv"), "long")
     if large.isEmpty():
         return _grouped(judged, ["conv"], [F.col("turn").asc_nulls_first(), "role", "text", "copy"], _whole, RESULT)
     short = lookup_join(judged, large, "conv", "left_anti")
@@ -371,9 +379,9 @@ def repair(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     return found.unionByName(_long_conversations(long, chunk_rows))
 
 
-def repair_damaged(conversations: DataFrame, id_col: str = "conv_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def repair_damaged(conversations: DataFrame, id_col: str = "conv_id", whole_rows: int = WHOLE_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Damage, then repair: one row per conversation of the input."""
-    found = repair(damage(conversations, id_col), chunk_rows)
+    found = repair(damage(conversations, id_col), whole_rows, chunk_rows)
     every = conversations.select(F.col(id_col), id_key(F.col(id_col)).alias("conv")).distinct()
     numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
     return every.join(found, "conv", "left").select(

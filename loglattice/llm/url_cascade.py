@@ -198,6 +198,8 @@ def listed_hosts(pages: DataFrame, url_col: str = "url", blocked_words: tuple[st
 
 
 def _slices(n_listed: int, n_all: int, slice_bytes: int) -> int:
+    if not n_listed:
+        return 1
     rate = min(0.5, math.sqrt(0.5) * n_listed / max(1, n_all - n_listed))
     return max(1, math.ceil(level_shape(n_listed, rate)[0] / 8 / slice_bytes))
 

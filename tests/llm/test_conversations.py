@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from loglattice.llm import turn_repair, turn_trie
+from loglattice.llm import QUERIES, turn_repair, turn_trie, url_cascade
 
 CONVERSATION = "conv_id long, turn long, role string, text string"
 SPACE = " \t\n\x0b\x0c\r"
@@ -95,12 +95,12 @@ def brute_repair(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [3, 256])
-def test_repair_matches_brute_force(spark, chunk_rows, monkeypatch):
+@pytest.mark.parametrize(("whole_rows", "chunk_rows"), [(4, 3), (1000, 128)])
+def test_repair_matches_brute_force(spark, whole_rows, chunk_rows, monkeypatch):
     monkeypatch.setattr(turn_repair, "FAN_IN", 2)
     rows = random_conversations(chunk_rows) + [(None, 1, "user", "Hm."), (None, 2, "assistant", "Ah."), (900, None, None, None), (901, 5, "s", "x" * 70_000 + ".")]
     df = spark.createDataFrame(rows, CONVERSATION).withColumns({"conv": F.lit(1), "fault": F.lit("x"), "pos": F.lit(2)})
-    got = {r[0]: tuple(r[1:]) for r in turn_repair.repair_damaged(df, chunk_rows=chunk_rows).collect()}
+    got = {r[0]: tuple(r[1:]) for r in turn_repair.repair_damaged(df, whole_rows=whole_rows, chunk_rows=chunk_rows).collect()}
     want = brute_repair(rows)
     assert got == want
     assert turn_repair.repair_damaged(df.limit(0)).count() == 0
@@ -108,7 +108,7 @@ def test_repair_matches_brute_force(spark, chunk_rows, monkeypatch):
 
 def test_long_conversation_takes_bounded_work():
     rng = random.Random(5)
-    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.choice("uuaas")) for _ in range(turn_repair.CHUNK_ROWS)]
+    rows = [(rng.choice([0, 0, 0, 1, 2]), rng.choice("uuaas")) for _ in range(turn_repair.WHOLE_ROWS)]
     cost, audit = turn_repair.search(rows)
     assert len(audit.replace("I", "")) == len(rows) and cost >= turn_repair.least_costs(rows)[0]
 
@@ -155,3 +155,45 @@ def test_trie_matches_brute_force(spark, band_turns, block_cells):
     df = spark.createDataFrame(rows, CONVERSATION).withColumns({"conv": F.lit(1), "band": F.lit("x"), "key": F.lit(2), "words": F.lit("w")}).repartition(5)
     got = sorted((tuple(r) for r in turn_trie.prefix_trie(df, band_turns=band_turns, block_cells=block_cells).collect()), key=repr)
     assert got == brute_trie(rows)
+
+
+PAGES = [
+    (1, None), (2, ""), (3, "no scheme"), (4, "http://EXAMPLE.com/en/x"), (5, "http://www.example.com/en/"), (6, "http://a.www.example.com/en/1?x"), (7, "http://com"), (8, "http://x.net/es/"),
+    (9, "http://x.net/es"), (10, "https://spam.example.org/a"), (11, "http://a.spam.example.org"), (12, "x://y://z/p"), (13, "http:///en/"), (None, "http://b.net/fr/" + "q" * 70_000), (4, "http://EXAMPLE.com/en/x"),
+]
+
+
+@pytest.mark.parametrize(("local_keys", "slice_bytes"), [(50_000, 1 << 20), (0, 1 << 20), (0, 8)])
+def test_cascade_is_exact(spark, monkeypatch, local_keys, slice_bytes):
+    monkeypatch.setattr(url_cascade, "LOCAL_KEYS", local_keys)
+    rng = random.Random(7)
+    urls = PAGES + [(100 + i, f"http://{'.'.join(rng.choice('abcde') for _ in range(rng.randrange(1, 5)))}/{rng.choice(['x', 'y/', 'en/z', ''])}") for i in range(600)]
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"), ("block", "net", "/fr/"), ("allow", "", "/")]
+    rules += [(rng.choice(["allow", "block"]), ".".join(rng.choice("abcde") for _ in range(rng.randrange(1, 4))), rng.choice(["/", "/x", "", "/en/"])) for _ in range(60)]
+    listed = ["spam.example.org", "d.e"]
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumns({"host": F.lit("x"), "keys": F.lit(1), "best": F.lit(2)})
+    frames = url_cascade.rule_table(spark, rules), spark.createDataFrame([(h, "") for h in listed], "host string, path string")
+    got = sorted((tuple(r) for r in url_cascade.judge_urls(df, *frames, slice_bytes=slice_bytes).collect()), key=repr)
+    want = []
+    for page, url in urls:
+        found = re.search("://([^/?#]*)([^?#]*)", url or "")
+        host, path = (found[1].translate({c: c + 32 for c in range(65, 91)}), found[2]) if found else ("", "")
+        fits = [(len(h + p), v == "block", h.count("."), h + p) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        blocked = best[1] if best else any(host == h or host.endswith("." + h) for h in listed)
+        want.append((page, host, path, best[3] if best else None, "block" if blocked else "allow"))
+    assert got == sorted(want, key=repr)
+    assert url_cascade.judge_urls(df.limit(0), *frames).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op11_url_cascade", "op12_turn_repair", "op13_turn_trie"])
+def test_empty_tables(spark, tmp_path, name):
+    for table in ("pages", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_trie_with_null_ids(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "user", "b"), (40, 1, "user", "a")]
+    got = {(r.depth, r.conv_id): r.n_convs for r in turn_trie.prefix_trie(spark.createDataFrame(rows, CONVERSATION)).collect()}
+    assert got == {(0, 40): 2, (1, 40): 2, (2, None): 1}
