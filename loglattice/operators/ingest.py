@@ -15,14 +15,22 @@ RAW_INDEX = [
 
 # Columns that tell where a line stood: of its file (batch and stream readers), or the source's own number.
 POSITION = ["file_path", "block_start", "position", "seq", "offset"]
+# File and number in it say all; what else a reader adds (its order of this run) is no part of the identity.
+IN_FILE = ["file_path", "line_no"]
+
+
+def place_of(columns: list[str]) -> list[str]:
+    """Which of the columns identify the place of a line."""
+    return IN_FILE if set(IN_FILE) <= set(columns) else [c for c in POSITION if c in columns]
 
 
 def build_raw_events(lines: DataFrame, transport: str = "batch_api", identity: list[str] | None = None) -> DataFrame:
     """Raw events from lines with ``source_id``, ``received_at`` and ``line`` or ``payload``.
 
     Missing envelope columns become null; a missing trace id is derived from ``identity``. Without
-    ``identity`` that is the source, the line and whatever tells where it stood (``POSITION``), so
-    equal lines of one file stay different events; a frame that has none of these is refused.
+    ``identity`` that is the source, the line and whatever tells where it stood (file and line number,
+    else ``POSITION``), so equal lines of one file stay different events and a line that is read again
+    is the same event; a frame that has none of these is refused.
     """
     df = lines
     if "payload" not in df.columns:
@@ -37,7 +45,7 @@ def build_raw_events(lines: DataFrame, transport: str = "batch_api", identity: l
     if "transport" not in df.columns:
         df = df.withColumn("transport", F.lit(transport))
     if "trace_id" not in df.columns:
-        place = [c for c in POSITION if c in df.columns]
+        place = place_of(df.columns)
         if not identity and not place:
             raise ValueError(f"lines have no trace_id and no position: pass identity, or one of {', '.join(POSITION)}")
         keys = identity or ["source_id", *place, "line"]

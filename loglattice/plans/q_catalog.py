@@ -18,6 +18,7 @@ from loglattice.plans.q_text import L, structure_sql
 from loglattice.plans.registry import query
 from loglattice.session import cut_lineage, ensure_checkpoint_dir
 from loglattice.sources.lines import read_log_lines, stream_log_lines
+from loglattice.sources.manifest import published
 from loglattice.sources.results import SCHEMAS, read_results, write_results, write_search_documents
 from loglattice.sources.vault import read_raw_by_uri, read_raw_vault, write_raw_vault
 from loglattice.streaming.pipeline import stream_counters, stream_pipeline
@@ -366,7 +367,7 @@ def _(spark, sf):
     path = _streamed(spark, sf)
     out = None
     for name in ("normalized", "unresolved", "dead_letter"):
-        row = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/out/{name}").agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
+        row = published(spark, f"{path}/out", name, SCHEMAS[name]).agg(F.lit(name).alias("outcome"), F.count("*").alias("n"))
         out = row if out is None else out.unionByName(row)
     return out.filter("n > 0")
 

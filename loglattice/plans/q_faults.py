@@ -11,9 +11,11 @@ from loglattice.operators.pipeline import process_batch
 from loglattice.operators.rules import Rule, load_rules, rules_frame
 from loglattice.plans import fixtures as fx
 from loglattice.plans.q_catalog import _DOC_LINES, run_dir
+from loglattice.plans.q_events import V, processed
 from loglattice.plans.registry import query
+from loglattice.session import cut_lineage, written
 from loglattice.sources.lines import read_log_lines, stream_log_lines
-from loglattice.sources.results import SCHEMAS
+from loglattice.sources.results import read_results, write_results
 from loglattice.streaming.pipeline import stream_pipeline
 
 
@@ -37,10 +39,58 @@ def _(spark, sf):
     events = stream_log_lines(spark, f"{path}/in", 1).withColumn("source_id", F.lit("misc"))
     known = fx.bindings(spark)
     stream_pipeline(events, fx.rule_set(), lambda: known, f"{path}/out", f"{path}/ck", fx.sources(spark)).awaitTermination()
-    stored = spark.read.schema(SCHEMAS["trace"]).parquet(f"{path}/out/trace")
+    stored = read_results(spark, f"{path}/out")["trace"]
     return stored.groupBy("trace_id").agg(F.count("*").alias("n")).agg(F.sum("n").alias("events"), F.count("*").alias("ids"))
 
 
+_LINES_TWICE = f"{_DOC_LINES} WHERE line <> ''"
+
+
+@query("reread_lines", f"""SELECT * FROM (SELECT count(*) AS lines, count(*) AS after_adding, count(*) AS other_splits, count(*) AS by_stream FROM {_LINES_TWICE}),
+    (SELECT count(*) AS added FROM nation)""")
+def _(spark, sf):
+    """A folder read four times: as it is, beside another file, in other splits, as a stream. Every line is one event in all."""
+    path = _doc_files(spark, sf, 3)
+
+    def ids(name):
+        return written(build_raw_events(read_log_lines(spark, f"{path}/in", "misc")).select("trace_id", F.lit(name).alias("pass")), name)
+
+    passes = ids("first")
+    fx.table(spark, sf, "nation").select("n_name").coalesce(1).write.mode("append").text(f"{path}/in")
+    passes = passes.unionByName(ids("beside"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        passes = passes.unionByName(ids("splits"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    lines = stream_log_lines(spark, f"{path}/in", 2, blank=True).withColumn("source_id", F.lit("misc"))
+    known = fx.bindings(spark)
+    stream_pipeline(lines, fx.rule_set(), lambda: known, f"{path}/out", f"{path}/ck", fx.sources(spark)).awaitTermination()
+    passes = passes.unionByName(read_results(spark, f"{path}/out")["trace"].select("trace_id", F.lit("stream").alias("pass")))
+    seen = passes.groupBy("trace_id").agg(*[F.count_if(F.col("pass") == name).alias(name) for name in ("first", "beside", "splits", "stream")])
+    old = F.col("first") == 1
+    return seen.agg(
+        F.count_if(old).alias("lines"), F.count_if(old & (F.col("beside") == 1)).alias("after_adding"), F.count_if(old & (F.col("splits") == 1)).alias("other_splits"),
+        F.count_if(old & (F.col("stream") == 1)).alias("by_stream"), F.count_if(~old & (F.col("beside") == 1) & (F.col("splits") == 1) & (F.col("stream") == 1)).alias("added"))
+
+
+@query("retried_batch", f"""SELECT outcome, count(*) AS n, 0 AS in_two FROM {V('leef', 'xml', 'csv')} WHERE kind <> 'csv' GROUP BY 1""")
+def _(spark, sf):
+    """A run whose first attempt had more rows, and one that is published empty: readers see the last attempts alone."""
+    path = run_dir(spark, "retried")
+    done = cut_lineage(processed(spark, sf, "leef", "xml", "csv").drop("payload", "_values", "_fields", "_loose", "_json"))
+    write_results(done, path, run="a")
+    write_results(done, path, run="b")
+    write_results(done.filter("kind <> 'csv'"), path, run="a")
+    write_results(done.limit(0), path, run="b")
+    tables = read_results(spark, path)
+    rows = [tables[name].select("trace_id", F.lit(name).alias("outcome")) for name in ("normalized", "unresolved", "dead_letter")]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    twice = every.groupBy("trace_id").agg(F.count(F.lit(1)).alias("times"), F.min("outcome").alias("outcome"))
+    return twice.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("times") > 1).cast("int").alias("in_two"))
+
+
 @query("repeated_lines_locked", f"SELECT count(*) AS events, count(*) AS ids FROM {_DOC_LINES} WHERE line <> ''")
 def _(spark, sf):
     events = build_raw_events(read_log_lines(spark, f"{_doc_files(spark, sf)}/in", "misc", "job"))
