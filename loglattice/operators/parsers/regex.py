@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loglattice.operators.parsers.registry import Parser, absent, found, register_parser
+from loglattice.operators.regexsafety import MAX_LOOPS, chained_loops
 
 # Messages.
 NO_MATCH = "Regex did not match the event"
@@ -117,6 +120,44 @@ def regex_groups(raw: Column, pattern: str) -> Column:
     )
 
 
+def linear_pattern(pattern: str) -> str:
+    """The pattern for an automaton-based matcher: all groups named by number, the whole match as ``g0``."""
+    token = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?|.", re.S)
+    number = 0
+    out = []
+    for part in token.findall(java_pattern(pattern)[0]):
+        if part == "(":
+            number += 1
+            part = f"(?P<g{number}>"
+        out.append(part)
+    return f"(?P<g0>{''.join(out)})"
+
+
+def linear_refusal(pattern: str) -> str:
+    """Why the automaton-based matcher cannot take the pattern; empty text if it can."""
+    try:
+        pc.extract_regex(pa.array([""]), linear_pattern(pattern))
+    except (pa.ArrowInvalid, re.error) as exc:
+        return str(exc).splitlines()[0]
+    return ""
+
+
+def linear_groups(raw: Column, pattern: str) -> Column:
+    """As :func:`regex_groups`, in time proportional to the line whatever the pattern (Arrow's matcher does not backtrack).
+
+    Classes like ``\\d`` are ASCII in both; ``$`` stands at the very end only.
+    """
+    body, groups = linear_pattern(pattern), java_pattern(pattern)[2]
+
+    def match(lines: pa.Array) -> pa.Array:
+        found = pc.extract_regex(lines, body)
+        columns = [pa.array([""] * len(lines)), *[pc.struct_field(found, f"g{g}") for g in range(1, groups + 1)]]
+        cells = [column.cast(pa.string()).to_pylist() for column in columns]
+        return pa.array([list(row) if hit else None for row, hit in zip(zip(*cells), found.is_valid().to_pylist())], pa.list_(pa.string()))
+
+    return F.arrow_udf(match, "array<string>")(raw)
+
+
 def _broken(rule) -> str | None:
     pattern = rule.parser_definition.get("pattern")
     if not pattern:
@@ -131,7 +172,10 @@ def _broken(rule) -> str | None:
 def _prepare(raw: Column, rule) -> Column:
     if _broken(rule):
         return F.lit(None).cast("array<string>")
-    return regex_groups(raw, rule.parser_definition["pattern"])
+    pattern = rule.parser_definition["pattern"]
+    if chained_loops(pattern) > MAX_LOOPS:
+        return linear_groups(raw, pattern)
+    return regex_groups(raw, pattern)
 
 
 def _error(prepared: Column, rule) -> Column:

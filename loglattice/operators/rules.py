@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglattice.operators.regexsafety import MAX_LOOPS, chained_loops
+
 # Lint limits and patterns.
 MAX_RULE_CHARS = 100 * 1024
 NESTED_QUANTIFIER = r"\([^)]*[+*][^)]*\)[+*]|\[[^\]]*[+*][^\]]*\][+*]"
@@ -297,9 +299,21 @@ def rule_defect(rule: Rule, spark: SparkSession | None = None) -> str:
     hazard = "repeats a repeated group" if re.search(NESTED_QUANTIFIER, pattern) else pattern_hazard(pattern)
     if hazard:
         return f"Unsafe regex pattern: {hazard}"
+    slow = slow_pattern(pattern)
+    if slow:
+        return f"Unsafe regex pattern: {slow}"
     return jvm_refusal(spark, pattern) if spark else ""
 
 
+def slow_pattern(pattern: str) -> str:
+    """Why a pattern has no fast matcher: too many loops for the JVM's, and nothing for the automaton-based one."""
+    from loglattice.operators.parsers.regex import linear_refusal
+
+    loops = chained_loops(pattern)
+    refusal = linear_refusal(pattern) if loops > MAX_LOOPS else ""
+    return f"{loops} repetitions may share their text ({refusal})" if refusal else ""
+
+
 def jvm_refusal(spark: SparkSession, pattern: str) -> str:
     """What the JVM says against a pattern that Python accepts; empty text if nothing."""
     from py4j.protocol import Py4JJavaError

@@ -157,3 +157,16 @@ def _(spark, sf):
     lines = fx.table(spark, sf, "part").selectExpr("p_partkey AS id", "to_json(named_struct('l', array(0, p_size, p_size + 1), 'b', p_brand)) AS line", "'cut@1' AS rv")
     parsed = RuleSet([_SLICED]).parse_and_check(lines, "line", "rv")
     return parsed.select("id", *[F.get("_values", F.lit(i))["value"].alias(name) for i, name in enumerate(_SLICED.targets)])
+
+
+# Four loops over one text: matched in linear time, with the same groups.
+_CHAINED = Rule("chain@1", "chain", 1, "regex", {"pattern": r"^(?P<head>\D*)\D*\D*\D*(?P<tail>\d+)$"}, {"head": "head", "tail": "tail"}, ["tail"])
+
+
+@query("regex_linear", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'Customer#' END AS head, CASE WHEN c_custkey % 2 = 0 THEN substring(c_name, 10) END AS tail,
+    c_custkey % 2 = 0 AS ok FROM customer""")
+def _(spark, sf):
+    lines = fx.table(spark, sf, "customer").selectExpr("c_custkey AS id", "CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE repeat(c_mktsegment, 400) END AS line", "'chain@1' AS rv")
+    parsed = RuleSet(load_rules(rules_frame(spark, [_CHAINED]))).parse_and_check(lines, "line", "rv")
+    ok = F.col("_error").isNull()
+    return parsed.select("id", *[F.when(ok, F.get("_values", F.lit(i))["value"]).alias(name) for i, name in enumerate(_CHAINED.targets)], ok.alias("ok"))
