@@ -297,6 +297,49 @@ class RuleSet:
             passes.append(F.when(good, F.lit(rule.rule_version_id)))
         return settle(F.coalesce(*passes))
 
+    # -- what a rule says about the rows it is given, overridden where rules are joined rows --------
+
+    def first_passes(self, unmatched: DataFrame, raw: str, order: str, tenant: str | None) -> DataFrame:
+        """Per fingerprint: the first line that any rule accepts, and the first such rule."""
+        tried = self.first_passing(unmatched, raw, tenant, "_candidate")
+        passed = tried.filter(F.col("_candidate").isNotNull())
+        # Rule numbers instead of id text keep the aggregate buffer fixed-width, hence hash-based.
+        number = F
+        for i, rule in enumerate(self.rules):
+            number = number.when(F.col("_candidate") == rule.rule_version_id, i)
+        found = passed.select("fingerprint", order, number.alias("_number")).groupBy("fingerprint").agg(
+            F.min(order).alias("_first"), F.min_by("_number", order).alias("_number")
+        )
+        versions = F.array(*[F.lit(rule.rule_version_id) for rule in self.rules])
+        return found.select("fingerprint", "_first", F.get(versions, F.col("_number")).alias("_discovered"))
+
+    def known_bindings(self, bindings: DataFrame) -> DataFrame:
+        """Bindings of rules in this set."""
+        return bindings.filter(F.col("rule_id").isin([rule.rule_id for rule in self.rules]))
+
+    def bound_versions(self, chosen: DataFrame) -> DataFrame:
+        """``fingerprint``, ``_bound`` and ``_bound_tenant`` for rows of ``fingerprint`` and ``_rule_id``."""
+        version, tenant = F, F
+        for rule in self.rules:
+            version = version.when(F.col("_rule_id") == rule.rule_id, rule.rule_version_id)
+            tenant = tenant.when(F.col("_rule_id") == rule.rule_id, rule.tenant_id)
+        if not self.rules:
+            return chosen.select("fingerprint", F.lit(None).cast("string").alias("_bound"), F.lit(None).cast("string").alias("_bound_tenant"))
+        return chosen.select("fingerprint", version.otherwise(None).alias("_bound"), tenant.otherwise(None).alias("_bound_tenant"))
+
+    def add_rule_ids(self, df: DataFrame, version: str, out: str = "rule_id") -> DataFrame:
+        return df.withColumn(out, self.literal_by_rule(version, lambda rule: rule.rule_id))
+
+    def rule_columns(self, version: str, columns: dict[str, Callable[[Rule], object]]) -> dict[str, Column]:
+        return {name: self.literal_by_rule(version, get) for name, get in columns.items()}
+
+    def positions(self, version: str) -> Column:
+        return self.literal_by_rule(version, positions_of).cast("array<int>")
+
+    def is_loose_cell(self, target: Column) -> Column:
+        loose = sorted({t for rule in self.rules for t in rule.targets if is_loose(t)})
+        return target.isin(loose) if loose else F.lit(False)
+
     def annotate(self, df: DataFrame, version: str, namespace: str) -> DataFrame:
         """Add ``_entries``: one annotated cell per target, for rows with a rule and no error."""
         return df.withColumns(self.once(("annotate", version, namespace), lambda: self._annotated(version, namespace)))
@@ -332,8 +375,7 @@ class RuleSet:
 
         entries = F.zip_with("_values", "_fields", cell)
         ok = F.col(version).isNotNull() & F.col("_error").isNull()
-        positions = self.literal_by_rule(version, positions_of).cast("array<int>")
-        return {"_entries": F.when(ok, entries), "_at": positions}
+        return {"_entries": F.when(ok, entries), "_at": self.positions(version)}
 
 
 def entry_at(target: str) -> Column:

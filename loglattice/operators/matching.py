@@ -13,18 +13,10 @@ BINDING_SCHEMA = "rule_id string, fingerprint string, created_at timestamp"
 
 def fingerprint_map(bindings: DataFrame, rules: RuleSet) -> DataFrame:
     """Fingerprint to rule version: the oldest binding whose rule is active, one row per fingerprint."""
-    versions = {rule.rule_id: rule for rule in rules.rules}
-    known = bindings.filter(F.col("rule_id").isin(list(versions)))
-    chosen = known.groupBy("fingerprint").agg(
+    chosen = rules.known_bindings(bindings).groupBy("fingerprint").agg(
         F.min_by("rule_id", F.struct("created_at", "rule_id")).alias("_rule_id")
     )
-    version, tenant = F, F
-    for rule in rules.rules:
-        version = version.when(F.col("_rule_id") == rule.rule_id, rule.rule_version_id)
-        tenant = tenant.when(F.col("_rule_id") == rule.rule_id, rule.tenant_id)
-    if not rules.rules:
-        return chosen.select("fingerprint", F.lit(None).cast("string").alias("_bound"), F.lit(None).cast("string").alias("_bound_tenant"))
-    return chosen.select("fingerprint", version.otherwise(None).alias("_bound"), tenant.otherwise(None).alias("_bound_tenant"))
+    return rules.bound_versions(chosen)
 
 
 def match_by_fingerprint(
@@ -50,17 +42,7 @@ def first_passes(unmatched: DataFrame, rules: RuleSet, raw: str, order: str, ten
     A hash aggregate with map-side partials, so a fingerprint that holds a third of all lines
     still reaches the reducer as one row per task.
     """
-    tried = discover_rule(unmatched, rules, raw, tenant, "_candidate")
-    passed = tried.filter(F.col("_candidate").isNotNull())
-    # Rule numbers instead of id text keep the aggregate buffer fixed-width, hence hash-based.
-    number = F
-    for i, rule in enumerate(rules.rules):
-        number = number.when(F.col("_candidate") == rule.rule_version_id, i)
-    found = passed.select("fingerprint", order, number.alias("_number")).groupBy("fingerprint").agg(
-        F.min(order).alias("_first"), F.min_by("_number", order).alias("_number")
-    )
-    versions = F.array(*[F.lit(rule.rule_version_id) for rule in rules.rules])
-    return found.select("fingerprint", "_first", F.get(versions, F.col("_number")).alias("_discovered"))
+    return rules.first_passes(unmatched, raw, order, tenant)
 
 
 def discovery_timeline(
@@ -82,8 +64,7 @@ def discovery_timeline(
 
 def bind_fingerprint(first: DataFrame, bindings: DataFrame, rules: RuleSet, at: str = "_first") -> DataFrame:
     """New (rule, fingerprint) bindings that discovery adds; existing ones are left out."""
-    rule_id = rules.literal_by_rule("_discovered", lambda rule: rule.rule_id)
-    fresh = first.select(rule_id.alias("rule_id"), "fingerprint").dropDuplicates(["rule_id", "fingerprint"])
+    fresh = rules.add_rule_ids(first.select("fingerprint", "_discovered"), "_discovered").select("rule_id", "fingerprint").dropDuplicates(["rule_id", "fingerprint"])
     return fresh.join(bindings.select("rule_id", "fingerprint"), ["rule_id", "fingerprint"], "left_anti")
 
 

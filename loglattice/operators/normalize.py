@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions.ids import event_id_for
-from loglattice.operators.engine import CANONICAL, PARSER_ERROR, POSITIONED, RuleSet, entry_at, is_loose
+from loglattice.operators.engine import CANONICAL, PARSER_ERROR, POSITIONED, RuleSet, entry_at
 
 # Labels of the target layouts and of the processing paths.
 CORE_LABEL = "core-1.0"
@@ -98,8 +98,6 @@ def unmapped_column(df: DataFrame, rules: RuleSet, namespace: str = "namespace")
 
 
 def _loose_columns(rules: RuleSet, namespace: str) -> dict[str, Column]:
-    loose_targets = sorted({target for rule in rules.rules for target in rule.targets if is_loose(target)})
-
     def cell(e):
         dotless = ~F.contains(e["target"], F.lit("."))
         return F.struct(
@@ -108,7 +106,7 @@ def _loose_columns(rules: RuleSet, namespace: str) -> dict[str, Column]:
             e["out"].alias("out"), e["out_kind"].alias("out_kind"),
         )
 
-    chosen = F.filter(_written(F.col("_entries")), lambda e: e["target"].isin(loose_targets) if loose_targets else F.lit(False))
+    chosen = F.filter(_written(F.col("_entries")), lambda e: rules.is_loose_cell(e["target"]))
     loose = F.transform(chosen, cell)
     groups = F.array_distinct(F.transform(F.col("_loose"), lambda c: c["group"]))
 
@@ -231,7 +229,7 @@ RULE_COLUMNS = {
 
 def stamp_trace(df: DataFrame, rules: RuleSet, version: str = "rule_version_id") -> DataFrame:
     """Rule id, version, hash and schema version of the rule that handled the row."""
-    return df.withColumns(rules.once(("stamp", version), lambda: {name: rules.literal_by_rule(version, get) for name, get in RULE_COLUMNS.items()}))
+    return df.withColumns(rules.once(("stamp", version), lambda: rules.rule_columns(version, RULE_COLUMNS)))
 
 
 def normalize(df: DataFrame, rules: RuleSet, path: str = FAST_PATH) -> DataFrame:
@@ -252,7 +250,7 @@ def normalize(df: DataFrame, rules: RuleSet, path: str = FAST_PATH) -> DataFrame
             "payload_json": F.when(outcome == "normalized", select_target_schema("target_schema")),
             "diagnostic": F.substring(F.col("_error"), 1, DIAGNOSTIC_CHARS),
         }
-    )
+    ).drop("_rule")
 
 
 # --- outcome tables -----------------------------------------------------------------

@@ -79,19 +79,21 @@ def wildcard_hits(raw: Column, paths: list[str]) -> Column:
     """First hit of each wildcard path as JSON text (null when absent), in one Arrow pass."""
 
     def hits(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                document = json.loads(text)
-            except (TypeError, ValueError, RecursionError):
-                return None
-            results = (find_first(document, path) for path in paths)
-            return [json.dumps(value) if ok else None for ok, value in results]
-
-        return texts.map(one)
+        return texts.map(lambda text: first_hits(text, paths))
 
     return F.pandas_udf(hits, "array<string>")(raw)
 
 
+def first_hits(text: str | None, paths: list[str]) -> list[str | None] | None:
+    """JSON text of each path's first hit in a document; null for no JSON."""
+    try:
+        document = json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    results = (find_first(document, path) for path in paths)
+    return [json.dumps(value) if ok else None for ok, value in results]
+
+
 def _complex_paths(rule) -> list[str]:
     paths = rule.parser_definition.get("paths", {})
     return sorted({p for p in paths.values() if p and not is_simple(p) and steps_of(p) is not None})

@@ -101,6 +101,12 @@ def _class_end(pattern: str, start: int) -> int:
     return i
 
 
+def whole_line(pattern: str) -> tuple[str, str]:
+    """Pattern of a whole line around the first match, and what replaces it: the groups behind marks."""
+    body, _, groups, _ = java_pattern(pattern)
+    return rf"(?d)\A(?s:.*?)(?:{body})(?s:.*)\z", _MARK + _MARK.join(f"${g}" for g in range(1, groups + 1))
+
+
 def regex_groups(raw: Column, pattern: str) -> Column:
     """All groups of the first match as an array (index 0 is a marker slot); null when nothing matches.
 
@@ -108,8 +114,7 @@ def regex_groups(raw: Column, pattern: str) -> Column:
     marker is read group by group instead.
     """
     body, _, groups, _ = java_pattern(pattern)
-    whole = rf"(?d)\A(?s:.*?)(?:{body})(?s:.*)\z"
-    template = _MARK + _MARK.join(f"${g}" for g in range(1, groups + 1))
+    whole, template = whole_line(pattern)
     fast = F.regexp_replace(raw, whole, template)
     slow = F.when(
         F.rlike(raw, F.lit("(?d)" + body)),
@@ -183,18 +188,26 @@ def _error(prepared: Column, rule) -> Column:
     return F.lit(broken) if broken else F.when(prepared.isNull(), F.lit(NO_MATCH))
 
 
-def _value(prepared: Column, rule, key: str) -> Column:
-    if _broken(rule):
-        return absent()
-    _, names, groups, optional = java_pattern(rule.parser_definition["pattern"])
+def group_of(pattern: str, key: str) -> tuple[int | None, bool | None]:
+    """Number of the group that a source key names, and whether it may be left out; nulls for none."""
+    _, names, groups, optional = java_pattern(pattern)
     number = names.get(key)
     if number is None and key.startswith("capture_"):
         digits = key.split("_")[1]
         number = int(digits) if re.fullmatch(r"\s*[+-]?\d+(?:_\d+)*\s*", digits) else None
     if number is None or not 1 <= number <= groups:
+        return None, None
+    return number, number in optional
+
+
+def _value(prepared: Column, rule, key: str) -> Column:
+    if _broken(rule):
+        return absent()
+    number, optional = group_of(rule.parser_definition["pattern"], key)
+    if number is None:
         return absent()
     text = F.get(prepared, F.lit(number))
-    if number in optional:
+    if optional:
         return found(F.nullif(text, F.lit("")), present=prepared.isNotNull())
     return found(text)
 

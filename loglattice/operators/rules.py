@@ -19,9 +19,6 @@ from loglattice.operators.regexsafety import MAX_LOOPS, chained_loops
 MAX_RULE_CHARS = 100 * 1024
 NESTED_QUANTIFIER = r"\([^)]*[+*][^)]*\)[+*]|\[[^\]]*[+*][^\]]*\][+*]"
 
-# More rules than this do not belong in one rule set; loading refuses. Tables of rules have no such limit.
-MAX_RULES = 2_000
-
 RULE_SCHEMA = (
     "rule_version_id string, rule_id string, name string, tenant_id string, rule_status string, version int, "
     "status string, parser_type string, parser_definition string, field_mappings string, required_fields string, "
@@ -347,15 +344,12 @@ def active_rules(rules: DataFrame) -> DataFrame:
 def load_rules(rules: DataFrame, enforce_lint: bool = True) -> list[Rule]:
     """The :func:`active_rules` as objects for a rule set, oldest first.
 
-    A rule set is configuration: its size is checked before it is brought to the driver. A rule
-    that fails the lint stays in the list with its ``defect``: discovery passes over it and events
+    Rules are configuration and are compiled on the driver; ``joined.compile_rules`` makes one plan of
+    any number of them. A rule that fails the lint stays in the list with its ``defect``: discovery passes over it and events
     bound to it become dead letters with that text, while all other rules go on. ``rejected``
     lists such rules.
     """
-    rows = active_rules(rules).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} active rules")
-    chosen = sorted((Rule.from_row(row) for row in rows), key=lambda r: (r.created_at, r.rule_id))
+    chosen = sorted((Rule.from_row(row) for row in active_rules(rules).toLocalIterator()), key=lambda r: (r.created_at, r.rule_id))
     if enforce_lint:
         chosen = [replace(rule, defect=rule_defect(rule, rules.sparkSession)) for rule in chosen]
     return chosen

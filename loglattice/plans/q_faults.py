@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from loglattice.operators.engine import RuleSet
 from loglattice.operators.ingest import build_raw_events
+from loglattice.operators.joined import compile_rules
 from loglattice.operators.normalize import dead_letters, normalize
 from loglattice.operators.pipeline import process_batch
 from loglattice.operators.rules import Rule, load_rules, rules_frame
@@ -170,3 +173,24 @@ def _(spark, sf):
     parsed = RuleSet(load_rules(rules_frame(spark, [_CHAINED]))).parse_and_check(lines, "line", "rv")
     ok = F.col("_error").isNull()
     return parsed.select("id", *[F.when(ok, F.get("_values", F.lit(i))["value"]).alias(name) for i, name in enumerate(_CHAINED.targets)], ok.alias("ok"))
+
+
+def _many(spark, n=2_000):
+    """The catalogue with ``n`` more rules of all families, newer than the others, that accept no line or lines that others take first."""
+    known = fx.rule_set().rules
+    more = []
+    for i in range(n):
+        kind = known[i % len(known)]
+        own = {"parser_definition": {"pattern": rf"^only{i} (?P<a>\S+) (?P<b>\d+)$"}, "field_mappings": {"a": f"f{i}", "b": "event_time"}, "required_fields": ["event_time"], "type_constraints": {}}
+        more.append(replace(kind, rule_version_id=f"m{i}@1", rule_id=f"m{i}", created_at="2025-01-01 00:00:00", **(own if kind.parser_type == "regex" else {})))
+    return compile_rules([*known, *more], spark, fx.MASK_KEY)
+
+
+@query("many_rules", f"SELECT trace_id, rule_id, rule_version, outcome, coalesce(action, '') AS action, coalesce(s_ip, '') AS s_ip, coalesce(n_src, '') AS n_src FROM {V('kv', 'json', 'leef', 'csv', 'asa', 'xml')}")
+def _(spark, sf):
+    """Two thousand rules in one plan: every event gets the rule and the values that the small catalogue gives it."""
+    kinds = ["kv", "json", "leef", "csv", "asa", "xml"]
+    done = process_batch(fx.raw_events(spark, sf, *kinds), _many(spark), fx.bindings(spark), fx.sources(spark)).processed
+    ok = F.col("outcome") == "normalized"
+    cells = {"action": F.col("security")["action"], "s_ip": F.col("source")["ip"], "n_src": F.col("network")["src_ip"]}
+    return done.select("trace_id", "rule_id", "rule_version", "outcome", *[F.coalesce(F.when(ok, c), F.lit("")).alias(name) for name, c in cells.items()])
