@@ -232,7 +232,7 @@ def rule_lock(
     chunk_rows: int = CHUNK_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """Lock decisions per event: the rule version used, and how the lock stood.
+    """Lock decisions per event: the rule version used, what the event resolves to by itself (``own_rule``), and how the lock stood.
 
     ``version`` holds what each event resolves to by itself (null for none); ``versions`` is the
     catalogue's list of rule versions; ``initial`` carries lock states from earlier batches.
@@ -275,13 +275,13 @@ def rule_lock(
         return pd.DataFrame(
             {
                 "container": pdf["container"].to_numpy(), "position": pdf["position"].to_numpy(), "trace_id": pdf["trace_id"].to_numpy(),
-                "rule_version_id": names[used], **flags,
+                "rule_version_id": names[used], "own_rule": pdf["rule_version_id"].to_numpy(), **flags,
             }
         )
 
     position_type = dict(placed.dtypes)["position"]
     out = (
-        f"container string, position {position_type}, trace_id string, rule_version_id string, "
+        f"container string, position {position_type}, trace_id string, rule_version_id string, own_rule string, "
         "was_locked boolean, spot_check boolean, mismatch boolean, locks boolean, unlocks boolean"
     )
     ready = placed.join(entries, ["container", "chunk"], "left").fillna(0, ["entry"])

@@ -16,6 +16,7 @@ OCSF_VERSION, OCSF_LABEL = "1.1.0", "ocsf-1.1.0"
 ECS_VERSION, ECS_LABEL = "8.11.0", "ecs-8.11.0"
 FAST_PATH, ONBOARDING_PATH, UNRESOLVED_PATH = "fast_path", "onboarding", "unresolved"
 STAGE_PARSER_FAILED, STAGE_VALIDATION_FAILED, VALUE_ERROR = "parser_failed", "validation_failed", "ValueError"
+STAGE_UNEXPECTED = "unexpected_error"
 DIAGNOSTIC_CHARS = 500
 DEFAULT_NAMESPACE = "vendor"
 
@@ -249,6 +250,7 @@ def normalize(df: DataFrame, rules: RuleSet, path: str = FAST_PATH) -> DataFrame
             "raw_reference": F.struct("trace_id", "digest", "byte_length"),
             "payload_json": F.when(outcome == "normalized", select_target_schema("target_schema")),
             "diagnostic": F.substring(F.col("_error"), 1, DIAGNOSTIC_CHARS),
+            "processed_at": F.localtimestamp(),
         }
     ).drop("_rule")
 
@@ -260,7 +262,7 @@ def normalized_events(processed: DataFrame) -> DataFrame:
     return processed.filter(F.col("outcome") == "normalized").select(
         "event_id", "trace_id", "source_id", F.col("rule_schema_version").alias("schema_version"), "rule_id", "rule_version",
         "processing_path", "job_id", "session_id", F.col("received_at").alias("created_at"), "event_time",
-        "source", "network", "security", "unmapped_fields", "raw_reference", "payload_json",
+        "source", "network", "security", "unmapped_fields", "raw_reference", "payload_json", "processed_at",
     )
 
 
@@ -268,7 +270,7 @@ def provenance(processed: DataFrame, keep_clear_values: bool = False) -> DataFra
     """One row per present field. Hashed and masked fields show the masked value unless asked not to."""
     e = F.col("e")
     rows = processed.filter(F.col("outcome") == "normalized").select(
-        "trace_id", "received_at", F.explode(F.filter(F.col("_entries"), lambda x: x["present"])).alias("e")
+        "trace_id", "received_at", "processed_at", F.explode(F.filter(F.col("_entries"), lambda x: x["present"])).alias("e")
     )
     masked = F.when(e["transformation"] == "mask_drop", F.lit("***"))
     if not keep_clear_values:
@@ -282,15 +284,16 @@ def provenance(processed: DataFrame, keep_clear_values: bool = False) -> DataFra
         F.lit(None).cast("double").alias("confidence"),
         e["decision"].alias("decision"),
         F.col("received_at").alias("created_at"),
+        "processed_at",
     )
 
 
 def provenance_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Newest row per (trace, target field); at equal times the new one wins over the old."""
+    """Newest row per (trace, target field) by arrival, then by processing; at equal times the new one wins over the old."""
     both = old.withColumn("_turn", F.lit(0)).unionByName(new.withColumn("_turn", F.lit(1)))
     key = ["trace_id", "target_field"]
     rest = [c for c in both.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct("created_at", "_turn")).alias("n")
+    newest = F.max_by(F.struct(*rest), F.struct("created_at", *[c for c in ("processed_at",) if c in rest], "_turn")).alias("n")
     return both.groupBy(*key).agg(newest).select(*key, *[F.col("n")[c].alias(c) for c in rest]).select(*old.columns)
 
 
@@ -323,6 +326,22 @@ def dead_letters(processed: DataFrame) -> DataFrame:
     )
 
 
+def first_dead_letters(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """New dead letters of traces that have none yet, one per trace: the first stands for all later attempts."""
+    once = new.groupBy("trace_id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "trace_id"]), F.struct("created_at", "stage", "diagnostic")).alias("r"))
+    return once.select("trace_id", "r.*").select(*new.columns).join(stored.select("trace_id"), "trace_id", "left_anti").select(*new.columns)
+
+
+def unexpected_errors(events: DataFrame, error_class: str, diagnostic: str) -> DataFrame:
+    """Dead letters of events whose whole step failed in a way no rule explains (stage ``unexpected_error``)."""
+    unknown = F.concat(F.lit("vault://"), F.col("source_id"), F.lit("/unknown/"), F.col("trace_id"), F.lit(".raw"))
+    uri = F.col("storage_uri") if "storage_uri" in events.columns else F.lit(None)
+    return events.select(
+        "trace_id", "source_id", F.lit(STAGE_UNEXPECTED).alias("stage"), F.lit(error_class).alias("error_class"), F.lit(diagnostic[:DIAGNOSTIC_CHARS]).alias("diagnostic"),
+        F.coalesce(uri, unknown).alias("raw_reference"), F.col("received_at").alias("created_at"), "job_id", "session_id",
+    )
+
+
 def unresolved(processed: DataFrame) -> DataFrame:
     return processed.filter(F.col("outcome") == "unresolved").select(
         event_id_for(F.col("trace_id"), UNRESOLVED_PATH).alias("id"), "trace_id", "fingerprint", "source_id",
@@ -331,7 +350,7 @@ def unresolved(processed: DataFrame) -> DataFrame:
 
 
 def search_documents(processed: DataFrame) -> DataFrame:
-    """Search documents: the payload plus envelope members, keyed by trace id."""
+    """Search documents: the payload plus envelope members, keyed by trace id. Of several the last arrived, then last processed stays."""
     from loglattice.functions.timefmt import to_ist_iso
 
     done = processed.filter(F.col("outcome") == "normalized")
@@ -341,5 +360,5 @@ def search_documents(processed: DataFrame) -> DataFrame:
         F.lit(',"@timestamp":'), quoted(to_ist_iso(F.col("received_at"))), F.lit("}"),
     )
     body = F.substr(F.col("payload_json"), F.lit(1), F.char_length(F.col("payload_json")) - 1)
-    docs = done.select("trace_id", "received_at", F.concat(body, tail).alias("document"))
-    return docs.groupBy("trace_id").agg(F.max_by("document", "received_at").alias("document"))
+    docs = done.select("trace_id", F.struct("received_at", "processed_at", F.concat(body, tail).alias("document")).alias("version"))
+    return docs.groupBy("trace_id").agg(F.max("version").alias("version")).select("trace_id", "version.document")

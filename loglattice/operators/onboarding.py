@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.functions.redact import redact_secrets
 from loglattice.functions.text import trim_space
 from loglattice.operators.engine import RuleSet, py_text
 from loglattice.operators.ranking import WINDOW_MAX_ROWS, first_per_group, number_rows
 from loglattice.operators.rules import Rule
-from loglattice.session import lookup_join
+from loglattice.session import cut_lineage, lookup_join
+from loglattice.sources.vault import fetch_raw
 
 MAX_SAMPLES = 5
 SOURCE_PREFIX_CHARS = 5
@@ -37,11 +39,19 @@ def register_sources(requests: DataFrame, existing: DataFrame, order: str, max_g
     return joined.withColumn("source_id", F.concat(F.lit("SRC-"), F.col("_prefix"), F.lit("-"), padded)).drop("_prefix", "_n", "_taken")
 
 
-def pull_samples(unresolved: DataFrame, raw: DataFrame, n: int = MAX_SAMPLES) -> DataFrame:
-    """Up to five lines per source and fingerprint, earliest first. Ids are cut before lines are read."""
-    chosen = first_per_group(unresolved, ["source_id", "fingerprint"], [F.col("created_at"), F.col("trace_id")], n)
-    lines = raw.select("trace_id", "line")
-    return chosen.select("trace_id", "source_id", "fingerprint").join(lines, "trace_id")
+def shown(line: Column, redact: bool) -> Column:
+    """A line as it may leave the vault: secrets are masked unless the caller says otherwise."""
+    return redact_secrets(line) if redact else line
+
+
+def pull_samples(unresolved: DataFrame, raw: DataFrame, n: int = MAX_SAMPLES, redact: bool = True) -> DataFrame:
+    """Up to five lines per source and fingerprint, earliest first, without secrets.
+
+    Ids are cut before lines are read, and lines are fetched by their address in the vault.
+    """
+    chosen = cut_lineage(first_per_group(unresolved.select("trace_id", "source_id", "fingerprint", "created_at"), ["source_id", "fingerprint"], [F.col("created_at"), F.col("trace_id")], n))
+    lines = fetch_raw(raw, chosen).select("trace_id", shown(F.col("line"), redact).alias("line"))
+    return lookup_join(lines, chosen.select("trace_id", "source_id", "fingerprint"), "trace_id", "inner").select("trace_id", "source_id", "fingerprint", "line")
 
 
 def target_schema_compat(found: DataFrame, rules: RuleSet, target_schema: str | None, version: str = "rule_version_id") -> DataFrame:
@@ -110,9 +120,12 @@ def template_rule(name: str, rule_id: str, target_schema: str = "ocsf") -> Rule:
     return Rule(f"{rule_id}@1", rule_id, 1, parser_type, definition, mappings, required, target_schema=target_schema, status="DRAFT")
 
 
-def rule_tests(samples: DataFrame, rules: RuleSet, version: str = "rule_version_id", line: str = "line") -> DataFrame:
-    """Per sample and candidate rule: extracted fields, error, ok. All candidates run in one pass."""
-    parsed = rules.parse_and_check(samples, line, version)
+def rule_tests(samples: DataFrame, rules: RuleSet, version: str = "rule_version_id", line: str = "line", redact: bool = True) -> DataFrame:
+    """Per sample and candidate rule: extracted fields, error, ok. All candidates run in one pass.
+
+    Rules are tested on what may be shown, so a case keeps passing when it is tested again.
+    """
+    parsed = rules.parse_and_check(samples.withColumn(line, shown(F.col(line), redact)), line, version)
     fields = F.zip_with("_values", "_fields", lambda v, f: F.when(v["present"], F.struct(f["target"].alias("field"), py_text(v["value"], v["kind"]).alias("value"))))
     return parsed.withColumns({"extracted": F.array_compact(fields), "error": F.col("_error"), "ok": F.col("_error").isNull()}).drop("_values", "_fields", "_error")
 
@@ -125,7 +138,7 @@ def rule_test_report(tests: DataFrame, version: str = "rule_version_id") -> Data
 
 
 def golden_cases(tests: DataFrame, version: str = "rule_version_id") -> DataFrame:
-    """Passing samples with what was extracted from them: the rule's regression cases."""
+    """Passing samples with what was extracted from them: the rule's regression cases, without secrets as their tests."""
     return tests.filter("ok").select(version, "trace_id", "line", F.col("extracted").alias("expected"))
 
 

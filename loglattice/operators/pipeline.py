@@ -73,9 +73,14 @@ def resolve_rules(
 
 
 def apply_decisions(matched: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Events of locked containers take the rule the lock decided on; others keep their own."""
-    choice = decisions.select("trace_id", F.col("rule_version_id").alias("_locked"), F.lit(True).alias("_decided"))
-    joined = matched.join(choice, "trace_id", "left")
+    """Events of locked containers take the rule the lock decided on; others keep their own.
+
+    Only decisions that differ from the event's own rule are joined; they are few, and broadcast when
+    proven so, so events and payloads stay where they are.
+    """
+    changed = decisions.filter(~F.col("rule_version_id").eqNullSafe(F.col("own_rule"))) if "own_rule" in decisions.columns else decisions
+    choice = changed.select("trace_id", F.col("rule_version_id").alias("_locked"), F.lit(True).alias("_decided"))
+    joined = lookup_join(matched, choice, "trace_id")
     version = F.when(F.col("_decided"), F.col("_locked")).otherwise(F.col("rule_version_id"))
     return joined.withColumn("rule_version_id", version).drop("_locked", "_decided")
 

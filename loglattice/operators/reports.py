@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.functions.ids import digest_verified
+from loglattice.functions.ids import digest_verified, storage_uri
 from loglattice.functions.text import raw_as_json_or_text
 from loglattice.operators.normalize import FAST_PATH, UNRESOLVED_PATH
 from loglattice.operators.ranking import number_rows
@@ -52,21 +52,29 @@ def source_search(sources: DataFrame, query: str = "", transport: str = "all") -
 # --- event lists ------------------------------------------------------------------
 
 
-def events_with_context(normalized: DataFrame, raw_index: DataFrame, sources: DataFrame, rules: DataFrame, tenant_id: str | None = None) -> DataFrame:
-    """Normalised events with raw address, source check and rule label."""
+def events_with_context(normalized: DataFrame, raw_index: DataFrame | None, sources: DataFrame, rules: DataFrame, tenant_id: str | None = None) -> DataFrame:
+    """Normalised events with raw address, source check and rule label.
+
+    Address and digest follow from the event's own columns; a raw index is joined only where it is given.
+    """
     scoped = tenant_scope(normalized, sources, tenant_id) if tenant_id else lookup_join(
         normalized, sources.select("source_id").distinct(), "source_id", "left_semi"
     )
-    raw = raw_index.select("trace_id", "storage_uri", "digest")
     names = rules.groupBy("rule_id").agg(F.first("name", ignorenulls=True).alias("_name"))
-    joined = lookup_join(scoped.join(raw, "trace_id", "left"), names, "rule_id", "left")
+    if raw_index is None:
+        placed = scoped.withColumns({"storage_uri": storage_uri(F.col("source_id"), F.col("created_at"), F.col("trace_id")), "digest": F.col("raw_reference")["digest"]})
+    else:
+        placed = scoped.join(raw_index.select("trace_id", "storage_uri", "digest"), "trace_id", "left")
+    joined = lookup_join(placed, names, "rule_id", "left")
     return joined.withColumn("rule_name", rule_label(F.col("_name"), F.col("rule_version"))).drop("_name")
 
 
-def unresolved_with_context(unresolved: DataFrame, raw_index: DataFrame, sources: DataFrame, tenant_id: str | None = None) -> DataFrame:
-    """Unresolved events with their raw address, limited to known sources."""
-    raw = raw_index.select("trace_id", "source_id", "storage_uri")
-    joined = unresolved.drop("source_id").join(raw, "trace_id")
+def unresolved_with_context(unresolved: DataFrame, raw_index: DataFrame | None, sources: DataFrame, tenant_id: str | None = None) -> DataFrame:
+    """Unresolved events with their raw address, limited to known sources; the address follows from the event."""
+    if raw_index is None:
+        joined = unresolved.withColumn("storage_uri", storage_uri(F.col("source_id"), F.col("created_at"), F.col("trace_id")))
+    else:
+        joined = unresolved.drop("source_id").join(raw_index.select("trace_id", "source_id", "storage_uri"), "trace_id")
     mine = sources.filter(F.col("tenant_id") == tenant_id) if tenant_id else sources
     return lookup_join(joined, mine.select("source_id").distinct(), "source_id", "left_semi")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loglattice.operators.engine import RuleSet
 from loglattice.operators.pipeline import BatchResult, process_batch
-from loglattice.session import lookup_join
+from loglattice.session import lookup_join, written
+from loglattice.sources.vault import fetch_raw
 
 
 def reprocess_select(unresolved: DataFrame, bindings: DataFrame, rule_id: str | None = None, fingerprint: str | None = None) -> DataFrame:
@@ -34,14 +35,14 @@ def reprocess_apply(
 ) -> Reprocessed:
     """Fetch raw lines of the selected events and run them through the pipeline.
 
-    Events without a raw row stay unresolved and are counted. Job and session ids are kept.
+    Events without a raw row stay unresolved and are counted. Job and session ids are kept. The vault is
+    read once, by the addresses of the selected events; later steps read what was fetched.
     """
-    ids = selected.select("trace_id")
-    events = raw.join(ids, "trace_id", "left_semi")
+    events = written(fetch_raw(raw, selected), "backlog")
     result = process_batch(events, rules, bindings, sources)
-    missing = selected.join(raw.select("trace_id"), "trace_id", "left_anti")
-    fetched = events.select("trace_id")
-    still = unresolved.join(fetched, "trace_id", "left_anti")
+    fetched = events.select("trace_id").distinct()
+    missing = lookup_join(selected, fetched, "trace_id", "left_anti")
+    still = lookup_join(unresolved, fetched, "trace_id", "left_anti")
     return Reprocessed(result, still, missing)
 
 

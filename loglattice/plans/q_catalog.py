@@ -216,9 +216,9 @@ def _(spark, sf):
     return reports.latency_summary(req).withColumn("mean", F.round("mean", 3))
 
 
-@query("rule_label", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN c_name ELSE concat(c_name, '@', cast(o_orderkey as varchar)) END AS label FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 0")
+@query("rule_label", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' OR o_orderkey = 0 THEN c_name ELSE concat(c_name, '@', cast(o_orderkey as varchar)) END AS label FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(spark, sf):
-    j = fx.table(spark, sf, "orders").filter("o_orderkey > 0").join(fx.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = fx.table(spark, sf, "orders").join(fx.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return j.select("o_orderkey", reports.rule_label(F.col("c_name"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))).alias("label"))
 
 

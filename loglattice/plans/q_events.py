@@ -175,9 +175,9 @@ def _(spark, sf):
     return out.filter("outcome = 'normalized'").select("trace_id", "doc_event_id", "ingest_time")
 
 
-@query("normalize_action", f"SELECT trace_id, {_VOCAB.format('upper(raw_action)')} AS up, {_VOCAB.format('raw_action')} AS low FROM {V('kv', 'csv')} WHERE outcome = 'normalized'")
+@query("normalize_action", f"SELECT trace_id, {_VOCAB.format('upper(a)')} AS up, {_VOCAB.format('a')} AS low FROM (SELECT trace_id, {_rx('action="([^"]*)"')} AS a FROM {L('kv')} UNION ALL SELECT trace_id, split_part(line, ',', 12) FROM {L('csv')})")
 def _(spark, sf):
-    kv = fx.lines(spark, sf, "kv").filter(~F.contains("line", F.lit(".999."))).select("trace_id", F.regexp_extract("line", 'action="([^"]*)"', 1).alias("a"))
+    kv = fx.lines(spark, sf, "kv").select("trace_id", F.regexp_extract("line", 'action="([^"]*)"', 1).alias("a"))
     csv = fx.lines(spark, sf, "csv").select("trace_id", F.get(F.split("line", ","), F.lit(11)).alias("a"))
     return kv.unionByName(csv).select("trace_id", normalize_action(F.upper("a")).alias("up"), normalize_action(F.col("a")).alias("low"))
 
@@ -315,19 +315,19 @@ def _(spark, sf):
 @query("events_with_context", f"SELECT trace_id, source_id, {_LABEL} AS rule_name, concat('vault://', source_id, '/', strftime(received_at, '%Y-%m-%d'), '/', trace_id, '.raw') AS storage_uri FROM {_VR} WHERE outcome = 'normalized'")
 def _(spark, sf):
     p, src, rules = _report_frames(spark, sf)
-    return reports.events_with_context(n.normalized_events(p), p, src, rules, "default").select("trace_id", "source_id", "rule_name", "storage_uri")
+    return reports.events_with_context(n.normalized_events(p), None, src, rules, "default").select("trace_id", "source_id", "rule_name", "storage_uri")
 
 
 @query("unresolved_with_context", f"SELECT trace_id, source_id FROM {_VR} WHERE outcome = 'unresolved' AND source_id <> 'misc'")
 def _(spark, sf):
     p, src, _r = _report_frames(spark, sf)
-    return reports.unresolved_with_context(n.unresolved(p), p, src, "default").select("trace_id", "source_id")
+    return reports.unresolved_with_context(n.unresolved(p), None, src, "default").select("trace_id", "source_id")
 
 
 def _outcome_list(spark, sf, tenant=None, **filters):
     p, src, rules = _report_frames(spark, sf)
-    done = reports.events_with_context(n.normalized_events(p), p, src, rules, tenant)
-    waiting = reports.unresolved_with_context(n.unresolved(p), p, src, tenant)
+    done = reports.events_with_context(n.normalized_events(p), None, src, rules, tenant)
+    waiting = reports.unresolved_with_context(n.unresolved(p), None, src, tenant)
     return p, reports.union_outcomes(done, waiting, **filters)
 
 

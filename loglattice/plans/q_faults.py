@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loglattice.operators.engine import RuleSet
 from loglattice.operators.ingest import build_raw_events
 from loglattice.operators.joined import compile_rules
-from loglattice.operators.normalize import dead_letters, normalize
+from loglattice.operators.normalize import dead_letters, first_dead_letters, normalize, unexpected_errors
 from loglattice.operators.pipeline import process_batch
 from loglattice.operators.rules import Rule, load_rules, rules_frame
 from loglattice.plans import fixtures as fx
@@ -162,6 +162,20 @@ def _(spark, sf):
     return parsed.select("id", *[F.get("_values", F.lit(i))["value"].alias(name) for i, name in enumerate(_SLICED.targets)])
 
 
+@query("dead_letter_stages", """SELECT stage, count(*) AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'parser_failed' WHEN 1 THEN 'validation_failed' ELSE 'unexpected_error' END AS stage FROM customer
+    WHERE c_custkey % 7 <> 0) GROUP BY 1""")
+def _(spark, sf):
+    """All three stages; traces that have a dead letter already, and second letters of a trace, add none."""
+    version = F.get(F.array(*[F.lit(v) for v in ("date@1", "odd@1", "odd@1")]), (F.col("seq") % 3).cast("int"))
+    lines = fx.table(spark, sf, "customer").selectExpr("c_custkey AS seq", "c_name AS line", "'mix' AS source_id", "timestamp_ntz'2024-01-01 00:00:00' AS received_at")
+    events = build_raw_events(lines).withColumns({"rule_version_id": version, "namespace": F.lit("vendor"), "fingerprint": F.lit("f"), "tenant_id": F.lit("default")})
+    rules = RuleSet(load_rules(rules_frame(spark, _FAULTY)))
+    failed = dead_letters(normalize(rules.parse_and_check(events.filter("seq % 3 <> 2"), "line", "rule_version_id"), rules))
+    lost = unexpected_errors(events.filter("seq % 3 = 2"), "TimeoutError", "gave up")
+    stored = unexpected_errors(events.filter("seq % 7 = 0"), "TimeoutError", "gave up before")
+    return first_dead_letters(stored, failed.unionByName(lost).unionByName(failed)).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Four loops over one text: matched in linear time, with the same groups.
 _CHAINED = Rule("chain@1", "chain", 1, "regex", {"pattern": r"^(?P<head>\D*)\D*\D*\D*(?P<tail>\d+)$"}, {"head": "head", "tail": "tail"}, ["tail"])
 

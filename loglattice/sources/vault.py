@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglattice.functions.ids import parse_vault_uri
+from loglattice.session import BROADCAST_MAX_ROWS, fits_broadcast
 
 # Files that one batch leaves per source and day at most.
 VAULT_PIECES = 32
@@ -50,6 +51,38 @@ def read_raw_by_uri(spark: SparkSession, path: str, uris: DataFrame, uri: str =
     return spark.read.parquet(path).join(keys.distinct(), ["source_id", "received_date", "trace_id"], "left_semi")
 
 
+ADDRESS = ["source_id", "received_date", "trace_id"]
+
+
+def _addressed(rows: DataFrame) -> DataFrame:
+    """Rows with the day that is part of their address, if they tell when they arrived."""
+    arrived = [c for c in ("received_at", "created_at") if c in rows.columns]
+    if "received_date" in rows.columns or not arrived:
+        return rows
+    return rows.withColumn("received_date", F.to_date(arrived[0]))
+
+
+def fetch_raw(raw: DataFrame, wanted: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Raw rows of the events in ``wanted``: trace_id, and where known source_id and arrival (received_at or created_at).
+
+    Source and day are part of the join, so of a stored vault only the partitions of wanted events are
+    read. Addresses proven few are broadcast and payloads do not move; more of them first prune
+    partitions by their sources and days, then meet what is left by shuffle.
+    """
+    rows, keys = _addressed(raw), _addressed(wanted)
+    address = [c for c in ADDRESS if c in keys.columns and c in rows.columns]
+    # Spark prunes partitions by a joined side only where that side is filtered by a comparison; this one holds for all ids.
+    keys = keys.filter(F.col("trace_id") >= "").select(*address).distinct()
+    if fits_broadcast(keys, max_rows):
+        found = rows.join(F.broadcast(keys), address, "left_semi")
+    else:
+        partitions = address[:-1]
+        days = keys.select(*partitions).distinct()
+        pruned = rows.join(F.broadcast(days), partitions, "left_semi") if partitions and fits_broadcast(days, max_rows) else rows
+        found = pruned.join(keys, address, "left_semi")
+    return found.select(*raw.columns)
+
+
 def read_legacy_vault(spark: SparkSession, path: str) -> DataFrame:
     """One-file-per-event layout ``<source>/<day>/<trace>.raw``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.raw").load(path)
