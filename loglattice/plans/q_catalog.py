@@ -329,12 +329,40 @@ def _lock_events(spark, sf):
     return e.select(F.col("event_type").alias("job_id"), F.col("event_id").alias("seq"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("trace_id"), own.alias("rule_version_id"))
 
 
-@query("rule_lock")
+# The transition table, event by event: one recursion step takes the next event of every job.
+_LOCK_STEPS = """
+WITH RECURSIVE e AS (
+  SELECT event_type AS c, event_id AS p, CASE WHEN value > 300 THEN NULL WHEN user_id > 40 THEN 'ra' ELSE 'rb' END AS own,
+         row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events),
+s AS (
+  SELECT DISTINCT c, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS p, CAST(NULL AS VARCHAR) AS used, false AS was, false AS spot, false AS off,
+         false AS locked, CAST(NULL AS VARCHAR) AS rule, 0 AS seen, 0 AS miss, 0 AS since_lock, 0 AS since_miss FROM e
+  UNION ALL
+  SELECT c, i, p, used, was, spot, off,
+         CASE WHEN was THEN NOT (off AND miss >= 4) ELSE used IS NOT NULL AND seen >= 9 END,
+         CASE WHEN was THEN CASE WHEN off AND miss >= 4 THEN NULL ELSE rule END WHEN used IS NOT NULL AND seen >= 9 THEN used END,
+         CASE WHEN was OR (used IS NOT NULL AND seen >= 9) THEN 0 ELSE seen + CASE WHEN used IS NULL THEN 0 ELSE 1 END END,
+         CASE WHEN was AND off AND miss < 4 THEN miss + 1 WHEN was AND NOT off THEN miss ELSE 0 END,
+         CASE WHEN was AND NOT (off AND miss >= 4) THEN since_lock + 1 ELSE 0 END,
+         CASE WHEN was AND NOT off THEN since_miss + 1 ELSE 0 END
+  FROM (
+    SELECT *, spot AND used IS DISTINCT FROM rule AS off FROM (
+      SELECT *, CASE WHEN was AND NOT spot THEN rule ELSE own END AS used FROM (
+        SELECT e.c, e.i, e.p, e.own, s.locked AS was, s.rule, s.seen, s.miss, s.since_lock, s.since_miss,
+               s.locked AND (s.since_lock + 1) % CASE WHEN s.miss > 0 AND s.since_miss < 50 THEN 25 WHEN s.since_lock < 100 THEN 50 ELSE 500 END = 0 AS spot
+        FROM s JOIN e ON e.c = s.c AND e.i = s.i + 1))))
+"""
+
+
+@query("rule_lock", f"{_LOCK_STEPS} SELECT c AS container, p AS position, used AS rule_version_id, was AS was_locked, spot AS spot_check, off AS mismatch FROM s WHERE i > 0")
 def _(spark, sf):
     return lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=2_000).select("container", "position", "rule_version_id", "was_locked", "spot_check", "mismatch")
 
 
-@query("lock_transition")
+@query("lock_transition", f"""{_LOCK_STEPS}
+SELECT c AS container, CASE WHEN locked THEN 'LOCKED' ELSE 'SAMPLING' END AS status, rule AS rule_version_id, CASE WHEN locked THEN 10 ELSE seen END AS sample_count_seen, miss AS mismatch_count,
+       CAST(since_lock AS BIGINT) AS events_since_lock, CAST(since_miss AS BIGINT) AS events_since_mismatch
+FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY i DESC) AS back FROM s WHERE i > 0) WHERE back = 1""")
 def _(spark, sf):
     return lock.lock_states(cut_lineage(lock.rule_lock(_lock_events(spark, sf), "job_id", "seq", ["ra", "rb"], chunk_rows=2_000)))
 
