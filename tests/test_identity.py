@@ -1,13 +1,10 @@
 """Events keep their ids when they are read again; runs are visible as a whole or not at all."""
 
 import pytest
-from conftest import SF
 from loglattice.operators.ingest import build_raw_events
-from loglattice.operators.pipeline import process_batch
-from loglattice.plans import fixtures as fx
 from loglattice.sources import manifest
-from loglattice.sources.lines import read_log_lines
-from loglattice.sources.results import TABLES, read_results, write_results
+from loglattice.sources.lines import read_log_lines, stream_log_lines
+from loglattice.sources.results import read_results
 from pyspark.sql import functions as F
 
 
@@ -44,48 +41,69 @@ def test_sequence_follows_files_and_lines(spark, tmp_path):
     assert [r.line for r in rows] == [f"{name}{i}" for name in "ab" for i in range(40)]
 
 
-@pytest.fixture(scope="module")
-def done(spark):
-    events = fx.raw_events(spark, SF, "leef", "xml")
-    return process_batch(events, fx.rule_set(), fx.bindings(spark), fx.sources(spark)).processed.drop("payload", "_values", "_fields", "_loose", "_json").checkpoint()
+SCHEMAS = {"good": "id long, at timestamp_ntz, day date", "bad": "id long, at timestamp_ntz"}
 
 
-def counts(spark, path):
-    return {name: t.count() for name, t in read_results(spark, str(path)).items()}
+def tables(spark, good, bad):
+    at = F.expr("timestamp_ntz'2024-01-01 10:00:00'")
+    return {"good": spark.range(good).withColumn("at", at), "bad": spark.range(good, good + bad).withColumn("at", at)}
+
+
+def publish(spark, path, run, good, bad, **more):
+    return manifest.publish(spark, str(path), run, tables(spark, good, bad), {"good": "at"}, **more)
 
 
-def test_retry_with_fewer_rows_leaves_none_of_the_first(spark, tmp_path, done):
-    write_results(done, str(tmp_path), run="r")
-    full, part = counts(spark, tmp_path), done.filter("source_id = 'win'").count()
-    write_results(done.filter("source_id = 'win'"), str(tmp_path), run="r")
-    assert counts(spark, tmp_path)["trace"] == part and 0 < part < full["trace"]
-    write_results(done.limit(0), str(tmp_path), run="r")
-    assert set(counts(spark, tmp_path).values()) == {0}
-    write_results(done, str(tmp_path), run="s")
-    assert counts(spark, tmp_path) == full
-    assert manifest.vacuum(spark, str(tmp_path), TABLES) > 0 and counts(spark, tmp_path) == full
-    assert manifest.vacuum(spark, str(tmp_path), TABLES) == 0
+def counts(spark, path):
+    return tuple(manifest.published(spark, str(path), name, schema).count() for name, schema in SCHEMAS.items())
+
 
+def test_retry_with_fewer_rows_leaves_none_of_the_first(spark, tmp_path):
+    publish(spark, tmp_path, "r", 9, 4)
+    publish(spark, tmp_path, "s", 1, 1)
+    assert counts(spark, tmp_path) == (10, 5)
+    publish(spark, tmp_path, "r", 3, 0)
+    assert counts(spark, tmp_path) == (4, 1)
+    publish(spark, tmp_path, "r", 0, 0)
+    assert counts(spark, tmp_path) == (1, 1)
+    assert manifest.vacuum(spark, str(tmp_path), list(SCHEMAS)) == 3 and counts(spark, tmp_path) == (1, 1)
+    assert manifest.vacuum(spark, str(tmp_path), list(SCHEMAS)) == 0
 
-def test_half_a_run_is_invisible(spark, tmp_path, done):
-    from loglattice.sources.results import DAYS, split_outcomes
 
-    write_results(done, str(tmp_path), run="r")
-    before = counts(spark, tmp_path)
-    tables = split_outcomes(done)
-    broken = {**tables, "dead_letter": tables["trace"].select(F.raise_error(F.lit("lost")).cast("string").alias("trace_id"), F.col("received_at").alias("created_at"))}
+def test_half_a_run_is_invisible(spark, tmp_path):
+    publish(spark, tmp_path, "r", 2, 2)
+    broken = {**tables(spark, 5, 5), "bad": spark.range(1).select(F.raise_error(F.lit("lost")).cast("long").alias("id"), F.expr("timestamp_ntz'2024-01-01 10:00:00'").alias("at"))}
     with pytest.raises(Exception, match="lost"):
-        manifest.publish(spark, str(tmp_path), "r", broken, DAYS)
-    assert counts(spark, tmp_path) == before
+        manifest.publish(spark, str(tmp_path), "r", broken, {"good": "at"})
+    assert counts(spark, tmp_path) == (2, 2)
 
 
-def test_overwrite_drops_earlier_runs_from_view(spark, tmp_path, done):
-    write_results(done, str(tmp_path), run="r")
-    write_results(done.filter("source_id = 'win'"), str(tmp_path), mode="overwrite", run="s")
-    assert {r.source_id for r in read_results(spark, str(tmp_path))["trace"].select("source_id").distinct().collect()} == {"win"}
+def test_overwrite_drops_earlier_runs_from_view(spark, tmp_path):
+    publish(spark, tmp_path, "r", 5, 5)
+    publish(spark, tmp_path, "s", 1, 2, fresh=True)
+    assert counts(spark, tmp_path) == (1, 2)
+    assert manifest.published(spark, str(tmp_path), "good", SCHEMAS["good"], before="s").count() == 0
 
 
-def test_readers_prune_other_attempts(spark, tmp_path, done):
-    write_results(done, str(tmp_path), run="r")
-    plan = read_results(spark, str(tmp_path))["trace"]._jdf.queryExecution().executedPlan().toString()
+def test_readers_prune_other_attempts(spark, tmp_path):
+    publish(spark, tmp_path, "r", 5, 5)
+    plan = manifest.published(spark, str(tmp_path), "good", SCHEMAS["good"])._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
+    assert manifest.published(spark, str(tmp_path), "none", "id long").count() == 0
+
+
+def test_failed_micro_batch_becomes_dead_letters(spark, tmp_path):
+    from loglattice.operators.engine import RuleSet
+    from loglattice.operators.parsers import Parser, register_parser
+    from loglattice.operators.parsers.registry import absent
+    from loglattice.operators.rules import Rule
+    from loglattice.streaming.pipeline import stream_pipeline
+
+    register_parser("failing", Parser(lambda raw, rule: F.raise_error(F.lit("no memory")).cast("string"), lambda prepared, rule: prepared, lambda prepared, rule, key: absent(), lambda rule: "failing"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\n\ntwo\n")
+    lines = stream_log_lines(spark, str(tmp_path / "in"), blank=True).withColumn("source_id", F.lit("s"))
+    known = spark.createDataFrame([], "rule_id string, fingerprint string, created_at timestamp")
+    rules = RuleSet([Rule("f@1", "f", 1, "failing", {}, {"a": "a"})])
+    stream_pipeline(lines, rules, lambda: known, str(tmp_path / "out"), str(tmp_path / "ck"), on_error="dead_letter").awaitTermination()
+    found = read_results(spark, str(tmp_path / "out"))["dead_letter"].collect()
+    assert [r.stage for r in found] == ["unexpected_error"] * 2 and len({r.trace_id for r in found}) == 2
