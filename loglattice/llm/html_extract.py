@@ -248,8 +248,8 @@ def settle_marks(blocks: list[Block], marks: list[Mark]) -> None:
     A mark condemns no element that holds an article, and on a page without articles none, but those
     of others' text, that holds more than half of the running text.
     """
-    total = 0
-    for block in blocks:
+    total, no_article = 0, not any(block.article for block in blocks)
+    for block in blocks if marks and no_article else ():
         if not block.outside and good_text(block):
             total += len(block.text)
             if block.mark is not None:
@@ -258,7 +258,6 @@ def settle_marks(blocks: list[Block], marks: list[Mark]) -> None:
         if mark.around is not None:
             mark.around.holds_article |= mark.holds_article
             mark.around.good += mark.good
-    no_article = not any(block.article for block in blocks)
     for mark in marks:
         overruled = mark.holds_article or no_article and not mark.foreign and 2 * mark.good > total
         mark.condemns = not overruled or mark.around is not None and mark.around.condemns
@@ -275,7 +274,10 @@ def good_text(block: Block) -> bool:
     """Long enough and with enough stop words to be running text."""
     if len(block.text) < SHORT or block.linked > LINKED * len(block.text.replace(" ", "")):
         return False
-    stops = stop_share(block)
+    return runs_on(block, stop_share(block))
+
+
+def runs_on(block: Block, stops: float) -> bool:
     return stops >= STOP_HIGH or stops >= STOP_LOW and (len(block.text) >= LONG or block.article)
 
 
@@ -286,9 +288,10 @@ def first_pass(block: Block) -> bool | None:
         return False
     if len(block.text) < SHORT:
         return None
-    if good_text(block):
+    stops = stop_share(block)
+    if runs_on(block, stops):
         return True
-    if stop_share(block) < STOP_LOW and len(block.text) >= LONG and not block.article:
+    if stops < STOP_LOW and len(block.text) >= LONG and not block.article:
         return False
     return None
 
