@@ -60,13 +60,14 @@ def test_stages_keep_columns(spark, stage):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(SQL[name])
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
-    got = sorted(tuple(r[c] for c in columns) for r in df.collect())
-    assert got == sorted(cur.fetchall())
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+    assert got == sorted(cur.fetchall(), key=repr)
 
 
 def brute_repeats(rows):
