@@ -18,7 +18,8 @@ from loglattice.plans.q_events import V, processed
 from loglattice.plans.registry import query
 from loglattice.session import cut_lineage, written
 from loglattice.sources.lines import read_log_lines, stream_log_lines
-from loglattice.sources.results import read_results, write_results
+from loglattice.sources.manifest import publish, published
+from loglattice.sources.results import read_results
 from loglattice.streaming.pipeline import stream_pipeline
 
 
@@ -81,15 +82,16 @@ def _(spark, sf):
 @query("retried_batch", f"""SELECT outcome, count(*) AS n, 0 AS in_two FROM {V('leef', 'xml', 'csv')} WHERE kind <> 'csv' GROUP BY 1""")
 def _(spark, sf):
     """A run whose first attempt had more rows, and one that is published empty: readers see the last attempts alone."""
-    path = run_dir(spark, "retried")
-    done = cut_lineage(processed(spark, sf, "leef", "xml", "csv").drop("payload", "_values", "_fields", "_loose", "_json"))
-    write_results(done, path, run="a")
-    write_results(done, path, run="b")
-    write_results(done.filter("kind <> 'csv'"), path, run="a")
-    write_results(done.limit(0), path, run="b")
-    tables = read_results(spark, path)
-    rows = [tables[name].select("trace_id", F.lit(name).alias("outcome")) for name in ("normalized", "unresolved", "dead_letter")]
-    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    path, schema = run_dir(spark, "retried"), "trace_id string, outcome string, kind string"
+    done = cut_lineage(processed(spark, sf, "leef", "xml", "csv").select("trace_id", "outcome", "kind"))
+
+    def attempt(run, rows):
+        publish(spark, path, run, {name: rows.filter(F.col("outcome") == name) for name in ("normalized", "unresolved", "dead_letter")})
+
+    for run, rows in (("a", done), ("b", done), ("a", done.filter("kind <> 'csv'")), ("b", done.limit(0))):
+        attempt(run, rows)
+    tables = [published(spark, path, name, schema) for name in ("normalized", "unresolved", "dead_letter")]
+    every = tables[0].unionByName(tables[1]).unionByName(tables[2])
     twice = every.groupBy("trace_id").agg(F.count(F.lit(1)).alias("times"), F.min("outcome").alias("outcome"))
     return twice.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("times") > 1).cast("int").alias("in_two"))
 
