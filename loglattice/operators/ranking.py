@@ -19,6 +19,14 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return top or 0
 
 
+def range_parts(df: DataFrame, max_group: int) -> int:
+    """Range partitions for a split: enough that none holds more than ``WINDOW_MAX_ROWS``, or ``max_group`` where that takes
+    no more partitions than a shuffle has. A small bound must not make a task of every few rows."""
+    rows = df.count()
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(rows / max(max_group, WINDOW_MAX_ROWS)), min(math.ceil(rows / max_group), usual))
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list, out: str, max_group: int = WINDOW_MAX_ROWS) -> DataFrame:
     """Add 1-based row numbers within ``keys`` by ``order`` (which must break all ties).
 
@@ -29,7 +37,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list, out: str, max_group
     """
     if keys and largest_group(df, keys) <= max_group:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    parts = max(1, math.ceil(df.count() / max_group))
+    parts = range_parts(df, max_group)
     placed = cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +64,7 @@ def next_after(df: DataFrame, keys: list[str], order: str, columns: dict[str, ob
     if largest_group(df, keys) <= max_group:
         window = Window.partitionBy(*keys).orderBy(order).rowsBetween(*later)
         return df.withColumns({name: F.min(column).over(window) for name, column in columns.items()})
-    parts = max(1, math.ceil(df.count() / max_group))
+    parts = range_parts(df, max_group)
     named = df.withColumns({f"_in_{name}": column for name, column in columns.items()})
     placed = cut_lineage(named.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
     firsts = placed.groupBy(*keys, "_part").agg(*[F.min(f"_in_{name}").alias(f"_min_{name}") for name in columns])
