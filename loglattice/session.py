@@ -63,21 +63,25 @@ def lookup_join(
     on: str | list[str],
     how: str = "left",
     max_rows: int = BROADCAST_MAX_ROWS,
-    salts: int = 32,
+    salts: int = 1,
 ) -> DataFrame:
     """Join a large fact side to a lookup of unknown size.
 
     A lookup proven small is broadcast, so a hot key on the fact side never moves. A larger
-    one is replicated ``salts`` times and joined on (keys, salt): the rows of a hot key are
-    spread over ``salts`` tasks. ``how`` must be ``left``, ``inner``, ``left_semi`` or
-    ``left_anti``; in all four every fact row meets each lookup row at exactly one salt.
+    one meets the facts in a sort-merge join, named as such, for Spark's size estimate would let
+    it broadcast millions of narrow rows through the driver; the partition of a hot key is split
+    by Spark's adaptive skew join. With ``salts`` the lookup is replicated as often and joined on
+    (keys, salt), where adaptive execution is off. ``how`` must be ``left``, ``inner``, ``left_semi``
+    or ``left_anti``; in all four every fact row meets each lookup row at exactly one salt.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(lookup, max_rows):
         return facts.join(F.broadcast(lookup), keys, how)
+    if salts == 1:
+        return facts.join(lookup.hint("merge"), keys, how)
     # Any salt is right: each lookup row stands at all of them. Row numbers also split rows that agree in all columns.
     salted_facts = facts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    return salted_facts.join(salted_lookup.hint("merge"), [*keys, "_salt"], how).drop("_salt")
