@@ -53,21 +53,25 @@ def _scoped_fingerprint(line: str) -> Column:
 
 
 def resolve_rules(
-    events: DataFrame, rules: RuleSet, bindings: DataFrame, sources: DataFrame | None = None, order: str = "seq", discovery: bool = True
+    events: DataFrame, rules: RuleSet, bindings: DataFrame, sources: DataFrame | None = None, order: str = "seq", discovery: bool = True,
+    whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Rule version per event by fingerprint and discovery, and the bindings discovery adds.
 
-    Discovery reads the events before they are parsed. Fingerprints, the costliest columns, are
-    then worked out once: events that do not store theirs are written with it first.
+    Discovery passes several times over the events that no binding knows, so what it needs of those is
+    written first, unless events store their fingerprint. The fingerprints are worked out again in the pass
+    that returns the events; with ``whole``, where several passes follow, whole events are written instead.
     """
     stored = "fingerprint" in events.columns
     events = with_fingerprint(with_source(events, sources))
     matched = match_by_fingerprint(events, bindings, rules, "tenant_id")
-    if discovery and rules.rules and not stored:
+    if discovery and rules.rules and not stored and whole:
         matched = written(matched, "matched")
     if not (discovery and rules.rules):
         return matched, events.sparkSession.createDataFrame([], "rule_id string, fingerprint string")
     unmatched = matched.filter(F.col("rule_version_id").isNull())
+    if not stored and not whole:
+        unmatched = written(unmatched.select("fingerprint", order, "line", "tenant_id"), "unmatched", "zstd")
     first = cut_lineage(first_passes(unmatched, rules, "line", order, "tenant_id"))
     return discovery_timeline(matched, rules, "line", order, "tenant_id", first=first), bind_fingerprint(first, bindings, rules)
 
@@ -103,7 +107,7 @@ def process_batch(
     """
     if prior:
         events = skip_processed(events, processed_ids(*prior))
-    matched, fresh = resolve_rules(events, rules, bindings, sources, order, discovery)
+    matched, fresh = resolve_rules(events, rules, bindings, sources, order, discovery, whole=container is not None)
     decisions = None
     if container:
         versions = [rule.rule_version_id for rule in rules.rules]

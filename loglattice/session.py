@@ -35,13 +35,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: later passes read only the columns they need."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Tasks made of one scan task: its rows stand in few row groups, and grow many times over as lines.
+TASKS_PER_SPLIT = 8
+
+
+def tasks_for(df: DataFrame) -> int:
+    """A number of tasks that uses all cores and grows with the scan of ``df``."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, TASKS_PER_SPLIT * df.rdd.getNumPartitions())
+
+
 def settle(column: Column) -> Column:
     """Keep filters on a costly column above the projection that computes it.
 
