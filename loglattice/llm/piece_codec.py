@@ -20,7 +20,8 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,25 +89,28 @@ def word_table(model: str) -> WordTable:
     return _TABLES[model]
 
 
-def encoder(model: str, with_ids: bool, rows_at_once: int = 64) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def encoder(model: str, with_ids: bool, rows_at_once: int = 64) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Only ``rows_at_once`` texts of an Arrow batch are Python strings at a time."""
+    types = dict(n_tokens=pa.int64(), ids_sha256=pa.string(), decoded_sha256=pa.string())
+    if with_ids:
+        types |= dict(ids=pa.list_(pa.int32()), decoded=pa.string())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(model)
         end = str(table.lib.eos_id())
         for batch in batches:
-            for at in range(0, len(batch), rows_at_once):
-                part = batch.iloc[at : at + rows_at_once]
-                texts = [marked_words(t) for t in part["text"]]
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                texts = [marked_words(t) for t in part.column("text").to_pylist()]
                 table.learn(texts)
                 out = []
                 for marked in texts:
                     ids, decoded = table.segment(marked)
                     ids = f"{ids} {end}" if ids else end
                     digest = [hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    out.append((ids.count(" ") + 1, *digest, *([[int(i) for i in ids.split(" ")], decoded] if with_ids else [])))
-                names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-                done = pd.DataFrame(out, columns=names)
-                done.insert(0, "id", part["id"].to_numpy())
-                yield done
+                    out.append((ids.count(" ") + 1, *digest, *([np.fromstring(ids, np.int32, sep=" "), decoded] if with_ids else [])))
+                cells = [pa.array(list(column), of) for column, of in zip(zip(*out, strict=True), types.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *cells], names=["id", *types])
 
     return encode
 
@@ -117,5 +121,5 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
-    done = rows.mapInPandas(encoder(model, with_ids), schema)
+    done = rows.mapInArrow(encoder(model, with_ids), schema)
     return done.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)

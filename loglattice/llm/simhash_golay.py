@@ -43,6 +43,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR, CHECK_BITS, CODE_BITS = 0b110001110101, 11, 23
 # Rows of one key that are compared with each other at a time.
 BLOCK = 2048
+# Entries of the index table that are worked out at a time.
+TABLE_STEP = 1 << 16
 
 
 # ---- fingerprints
@@ -86,24 +88,30 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _remainder(values: np.ndarray) -> np.ndarray:
     """Remainder of 23-bit polynomials by the generator."""
-    rest = values.astype(np.int64).copy()
+    rest = values.copy()
     for bit in range(CODE_BITS - 1, CHECK_BITS - 1, -1):
-        rest = np.where(rest >> bit & 1, rest ^ (GENERATOR << (bit - CHECK_BITS)), rest)
+        rest ^= (rest >> bit & 1) * (GENERATOR << (bit - CHECK_BITS))
     return rest
 
 
 def error_table() -> np.ndarray:
     """The error pattern of at most three bits for each of the 2,048 remainders (the code is perfect)."""
-    patterns = np.array([sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(CODE_BITS), n)], dtype=np.int64)
-    table = np.full(1 << CHECK_BITS, -1, dtype=np.int64)
+    patterns = np.array([sum(1 << b for b in bits) for n in range(4) for bits in combinations(range(CODE_BITS), n)], dtype=np.int32)
+    table = np.full(1 << CHECK_BITS, -1, dtype=np.int32)
     table[_remainder(patterns)] = patterns
     return table
 
 
 def index_table() -> np.ndarray:
-    """Index (12-bit message of the nearest codeword) of every 22-bit word."""
-    words22 = np.arange(1 << 22, dtype=np.int64)
-    return ((words22 ^ error_table()[_remainder(words22)]) >> CHECK_BITS).astype(np.int16)
+    """Index (12-bit message of the nearest codeword) of every 22-bit word.
+
+    Filled in slices: each Python worker of an executor builds it, often all at once.
+    """
+    errors, out = error_table(), np.empty(1 << 22, dtype=np.int16)
+    for low in range(0, len(out), TABLE_STEP):
+        words22 = np.arange(low, low + TABLE_STEP, dtype=np.int32)
+        out[low : low + TABLE_STEP] = (words22 ^ errors[_remainder(words22)]) >> CHECK_BITS
+    return out
 
 
 _TABLES: dict[str, np.ndarray] = {}
