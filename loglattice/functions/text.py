@@ -174,10 +174,15 @@ def _plain(text: Column) -> Column:
     return is_ascii(text) & F.is_valid_utf8(text)
 
 
-def text_structure(text: Column) -> Column:
-    """All masks in order: ASCII texts in Arrow batches, others on the JVM."""
-    plain = _plain(text)
-    return F.when(plain, line_structures(F.when(plain, text), _arrow_masks(), False)).otherwise(_masked(text))
+def _shaped(text: Column, lines: Column, with_json: bool, hashed: bool) -> Column:
+    """Structures, or their digests, of ``lines`` in Arrow batches; where that is null, of the text on the JVM."""
+    rest = _masked(text)
+    return F.coalesce(line_structures(lines, _arrow_masks(), with_json, hashed), F.sha2(rest, 256) if hashed else rest)
+
+
+def text_structure(text: Column, hashed: bool = False) -> Column:
+    """All masks in order: ASCII texts in Arrow batches, others on the JVM; ``hashed`` gives the SHA-256 of the result."""
+    return _shaped(text, F.when(_plain(text), text), False, hashed)
 
 
 def typed_structure(text: Column) -> Column:
@@ -190,38 +195,40 @@ def typed_structure(text: Column) -> Column:
 
 
 def is_json_like(text: Column) -> Column:
-    """Trimmed text starts with an opening and ends with a closing brace."""
-    body = trim_space(text)
-    return F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))
+    """Trimmed text starts with an opening and ends with a closing brace; the end is trimmed only where the start is one."""
+    spaces = F.lit(STRIP_CHARS)
+    return F.startswith(F.ltrim(text, spaces), F.lit("{")) & F.endswith(F.rtrim(text, spaces), F.lit("}"))
 
 
-def structure(text: Column, style: str = "parity") -> Column:
-    """Structural form of a line; brace-delimited and ASCII lines go through one Arrow function."""
+def structure(text: Column, style: str = "parity", hashed: bool = False) -> Column:
+    """Structural form of a line, or its SHA-256; brace-delimited and ASCII lines go through one Arrow function."""
     json_like = is_json_like(text)
     if style != "parity":
-        return F.when(json_like, json_structure(F.when(json_like, trim_space(text)))).otherwise(typed_structure(text))
-    plain = _plain(text)
-    shaped = line_structures(F.when(json_like, trim_space(text)).when(plain, text), _arrow_masks(), True)
-    return F.when(json_like | plain, shaped).otherwise(_masked(text))
+        typed = F.when(json_like, json_structure(F.when(json_like, trim_space(text)))).otherwise(typed_structure(text))
+        return F.sha2(typed, 256) if hashed else typed
+    return _shaped(text, F.when(json_like, trim_space(text)).when(_plain(text), text), True, hashed)
 
 
-def scoped_hash(structural: Column, vendor_token: Column | None = None) -> Column:
-    """SHA-256 of the structure, prefixed by a short hash of the vendor token when there is one."""
-    body = F.sha2(structural, 256)
+def _scoped(body: Column, vendor_token: Column | None) -> Column:
     if vendor_token is None:
         return body
     scope = F.substring(F.sha2(vendor_token, 256), 1, 8)
     return F.when(F.coalesce(vendor_token, F.lit("")) == "", body).otherwise(F.concat(scope, F.lit("::"), body))
 
 
+def scoped_hash(structural: Column, vendor_token: Column | None = None) -> Column:
+    """SHA-256 of the structure, prefixed by a short hash of the vendor token when there is one."""
+    return _scoped(F.sha2(structural, 256), vendor_token)
+
+
 def fingerprint(text: Column, vendor_token: Column | None = None, style: str = "parity") -> Column:
     """Fingerprint of any line. The token is the source id wherever events are processed."""
-    return scoped_hash(structure(text, style), vendor_token)
+    return _scoped(structure(text, style, hashed=True), vendor_token)
 
 
 def text_fingerprint(text: Column, vendor_token: Column | None = None) -> Column:
     """Fingerprint for data known to hold no JSON lines."""
-    return scoped_hash(text_structure(text), vendor_token)
+    return _scoped(text_structure(text, hashed=True), vendor_token)
 
 
 def decode_payload(payload: Column) -> Column:
