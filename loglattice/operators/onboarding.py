@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions.redact import redact_secrets
-from loglattice.functions.text import trim_space
+from loglattice.functions.text import STRIP_CHARS, trim_space
 from loglattice.operators.engine import RuleSet, py_text
 from loglattice.operators.ranking import WINDOW_MAX_ROWS, first_per_group, number_rows
 from loglattice.operators.rules import Rule
@@ -76,8 +76,12 @@ TRAIL_MARKS = ["amazonaws.com", "eventName"]
 
 
 def suggest_template(samples: DataFrame, line: str = "line", order: str = "trace_id") -> DataFrame:
-    """Template per (source, fingerprint): the first whose mark occurs in any sample of the group."""
-    text = F.col(line)
+    """Template per (source, fingerprint): the first whose mark occurs in any sample of the group.
+
+    Flags and counts fit a hash aggregate, so samples are not sorted. Whether the first sample is JSON
+    is settled where all of a group agree; only groups that hold both kinds are read again for it.
+    """
+    text, keys = F.col(line), ["source_id", "fingerprint"]
 
     def any_mark(marks):
         hit = F.lit(False)
@@ -85,13 +89,20 @@ def suggest_template(samples: DataFrame, line: str = "line", order: str = "trace
             hit = hit | F.contains(text, F.lit(mark))
         return F.bool_or(hit)
 
-    first_is_json = F.startswith(trim_space(text), F.lit("{")) & F.try_parse_json(text).isNotNull()
-    groups = samples.groupBy("source_id", "fingerprint").agg(
+    is_json = F.startswith(F.ltrim(text, F.lit(STRIP_CHARS)), F.lit("{")) & F.try_parse_json(text).isNotNull()
+    ordered = F.when(F.col(order).isNotNull(), F.coalesce(is_json, F.lit(False)))
+    groups = cut_lineage(samples.groupBy(*keys).agg(
         *[any_mark(marks).alias(f"_{name}") for name, marks in TEMPLATES],
-        F.min_by(first_is_json, F.col(order)).alias("_json"),
+        F.bool_or(ordered).alias("_json"),
+        F.bool_and(ordered).alias("_all_json"),
         any_mark(TRAIL_MARKS).alias("_trail"),
         F.count(F.lit(1)).alias("samples"),
-    )
+    )).withColumn("_group", F.struct(*keys))
+    mixed = groups.filter(F.col("_json") & ~F.col("_all_json")).select("_group")
+    if not mixed.isEmpty():
+        members = lookup_join(samples.withColumn("_group", F.struct(*keys)), mixed, "_group", "left_semi")
+        first = members.groupBy("_group").agg(F.min_by(F.coalesce(is_json, F.lit(False)), F.col(order)).alias("_first"))
+        groups = lookup_join(groups, first, "_group").withColumn("_json", F.coalesce("_first", "_json"))
     choice = F
     for name, _ in TEMPLATES:
         choice = choice.when(F.col(f"_{name}"), name)

@@ -235,9 +235,12 @@ def _(spark, sf):
     return onboarding.register_sources(req, existing, "c_custkey", max_group=20).select("c_custkey", "source_id")
 
 
+def _fingerprinted(spark, sf, *kinds):
+    return fx.lines(spark, sf, *kinds).withColumn("fingerprint", fingerprint(F.col("line"), F.col("source_id")))
+
+
 def _waiting(spark, sf, *kinds):
-    e = fx.lines(spark, sf, *kinds).withColumn("fingerprint", fingerprint(F.col("line"), F.col("source_id")))
-    return cut_lineage(e.withColumn("created_at", F.col("received_at")))
+    return cut_lineage(_fingerprinted(spark, sf, *kinds).withColumn("created_at", F.col("received_at")))
 
 
 _FP = f"concat(substring(sha256(source_id), 1, 8), '::', sha256({structure_sql()}))"
@@ -254,7 +257,7 @@ _TEMPLATE_SQL = f"SELECT source_id, template, count(DISTINCT fp) AS groups FROM
 
 @query("suggest_template", _TEMPLATE_SQL)
 def _(spark, sf):
-    groups = onboarding.suggest_template(_waiting(spark, sf, "asa", "leef", "cef", "json"))
+    groups = onboarding.suggest_template(_fingerprinted(spark, sf, "asa", "leef", "cef", "json"))
     return groups.groupBy("source_id", "template").agg(F.count("*").alias("groups"))
 
 
