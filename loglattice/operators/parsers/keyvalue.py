@@ -44,11 +44,23 @@ def shell_tokens(raw: Column) -> Column:
     return F.when(F.rlike(raw, F.lit(r"[\"'\\]")), quoted).otherwise(F.split(raw, _GAP))
 
 
+def _double_quoted(raw: Column) -> Column:
+    """Tokens of a line whose only quoting is balanced double quotes, which is most that quote at all; no empty token at the ends."""
+    tokens = F.regexp_extract_all(raw, F.lit(rf'(?:[^{_BLANKS}"]++|"[^"]*+")++'), F.lit(0))
+    return F.split(F.replace(F.array_join(tokens, _MARK), F.lit('"'), F.lit("")), _MARK)
+
+
 def kv_quoted(raw: Column) -> Column:
     """Pairs under shell quoting; a line with unbalanced quotes falls back to a plain split."""
-    balanced = ~F.rlike(raw, F.lit(r"[\"'\\]")) | quoting_balanced(raw)
-    shell = pairs_of(shell_tokens(raw), "=")
-    return F.when(balanced, shell).otherwise(kv_delimited(raw, " ", "="))
+    double = F.contains(raw, F.lit('"'))
+    other = F.contains(raw, F.lit("'")) | F.contains(raw, F.lit("\\"))
+    even = (F.octet_length(raw) - F.octet_length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 0
+    tokens = (
+        F.when(~double & ~other, F.split(raw, _GAP)).when(~other & even, _double_quoted(raw))
+        .when(other & quoting_balanced(raw), shell_tokens(raw))
+    )
+    # Without tokens the quotes do not match.
+    return F.when(tokens.isNotNull(), pairs_of(tokens, "=")).otherwise(kv_delimited(raw, " ", "="))
 
 
 def kv_delimited(raw: Column, delimiter: str, separator: str) -> Column:

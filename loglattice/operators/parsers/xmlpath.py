@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loglattice.functions.text import _UNI_SPACE
-from loglattice.operators.parsers.registry import Parser, found, last_value, register_parser
+from loglattice.operators.parsers.registry import Parser, found, last_first, register_parser, value_at
 
 # Messages.
 BAD_XML = "Failed to parse XML: "
@@ -36,33 +36,40 @@ def flatten(root) -> list[dict]:
     return pairs
 
 
-def _read(texts: pd.Series) -> pd.DataFrame:
+_TYPE = pa.struct([("error", pa.string()), ("root", pa.string()), ("pairs", pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())])))])
+
+
+def _read(texts: pa.Array) -> pa.Array:
     def one(text):
         if text is None:
-            return None, None, None
+            return None
         try:
             root = ElementTree.fromstring(text)
         except ElementTree.ParseError as exc:
-            return f"{BAD_XML}{exc}", None, None
-        return None, root.tag, flatten(root)
+            return {"error": f"{BAD_XML}{exc}"}
+        return {"root": root.tag, "pairs": flatten(root)}
 
-    return pd.DataFrame([one(t) for t in texts], columns=["error", "root", "pairs"])
+    # Most batches hold no XML at all.
+    return pa.nulls(len(texts), _TYPE) if texts.null_count == len(texts) else pa.array([one(text) for text in texts.to_pylist()], _TYPE)
 
 
 def xml_pairs(raw: Column) -> Column:
     """Lines whose first character cannot start a document get the reader's own error without Python."""
     hopeless = F.rlike(raw, F.lit(rf"^[^<{_UNI_SPACE}\ufeff]"))
-    read = F.pandas_udf(_read, SCHEMA)(F.when(~hopeless, raw))
+    read = F.arrow_udf(_read, SCHEMA)(F.when(~hopeless, raw))
     error = F.when(hopeless, NOT_XML).otherwise(read["error"])
     return F.struct(error.alias("error"), read["root"].alias("root"), read["pairs"].alias("pairs"))
 
 
 def _value(prepared: Column, rule, key: str) -> Column:
-    exact = last_value(prepared["pairs"], F.lit(key))
-    below_root = last_value(prepared["pairs"], F.concat(prepared["root"], F.lit("/" + key)))
-    return found(F.coalesce(exact, below_root))
+    keys, values = prepared["keys"], prepared["values"]
+    below_root = value_at(keys, values, F.concat(prepared["root"], F.lit("/" + key)))
+    return found(F.coalesce(value_at(keys, values, F.lit(key)), below_root))
 
 
 register_parser(
-    "xml", Parser(lambda raw, rule: xml_pairs(raw), lambda prepared, rule: prepared["error"], _value, lambda rule: "xml")
+    "xml", Parser(
+        lambda raw, rule: xml_pairs(raw), lambda prepared, rule: prepared["error"], _value, lambda rule: "xml",
+        lambda prepared: F.struct(prepared["error"].alias("error"), prepared["root"].alias("root"), *last_first(prepared["pairs"])),
+    )
 )
