@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from loglattice.operators.engine import FIELDS_TYPE, POSITIONED, VALUES_TYPE, RuleSet, how_written, is_loose
 from loglattice.operators.parsers import cef, jsonpath, keyvalue, leef, xmlpath
 from loglattice.operators.parsers import regex as rx
-from loglattice.operators.parsers.registry import absent, found, last_value, parser_for, strip
+from loglattice.operators.parsers.registry import absent, found, last_first, let, parser_for, strip, value_at
 from loglattice.operators.regexsafety import MAX_LOOPS, chained_loops
 from loglattice.operators.rules import Rule
 from loglattice.session import lookup_join, settle
@@ -32,6 +32,8 @@ from loglattice.session import lookup_join, settle
 COLUMN_RULES = 48
 FAMILIES = {"keyvalue": "kv", "kv": "kv", "cef": "cef", "leef": "leef", "xml": "xml", "jsonpath": "json", "regex": "regex"}
 SOURCES_TYPE = "array<array<struct<key:string,number:int,optional:boolean,path:string,slot:int>>>"
+# Families whose parsing is the same for all rules: column, parser, and a text that every line of theirs holds.
+WHOLE = {"cef": ("cef", cef.cef_pairs, "CEF:"), "leef": ("leef", leef.leef_pairs, "LEEF:"), "xml": ("xml", xmlpath.xml_pairs, "<"), "json": ("doc", F.try_parse_json, "")}
 ROW_SCHEMA = (
     "version string, number int, family string, refusal string, delimiter string, separator string, whole string, body string, template string, "
     f"groups int, linear string, wild array<string>, sources {SOURCES_TYPE}, fields {FIELDS_TYPE}, needed array<string>, at array<int>, loose array<string>, "
@@ -253,7 +255,8 @@ class JoinedRules(RuleSet):
     def parse_and_check(self, df: DataFrame, raw: str, version: str) -> DataFrame:
         return self._parsed(self._with_rule(df, version, "version"), raw)
 
-    def _parsed(self, df: DataFrame, raw: str) -> DataFrame:
+    def _parsed(self, df: DataFrame, raw: str, whole: bool = False) -> DataFrame:
+        """Values and errors of rows with their rule; ``whole`` where :meth:`_whole` has parsed the lines already."""
         rule, line = F.col("_rule"), F.col(raw)
         open_, family = rule["refusal"].isNull(), rule["family"]
 
@@ -269,8 +272,8 @@ class JoinedRules(RuleSet):
             F.sequence(F.lit(0), rule["groups"]), lambda g: F.when(g == 0, F.lit("")).otherwise(F.call_function("regexp_extract", line, rule["body"], g)))))
         slow = F.pandas_udf(_linear_groups, "array<string>")(of("regex", rule["linear"].isNotNull()), rule["linear"])
         df = df.withColumns({
-            "_kv": F.when(quoted, keyvalue.kv_quoted(kv)).otherwise(split), "_cef": cef.cef_pairs(of("cef")), "_leef": leef.leef_pairs(of("leef")), "_xml": xmlpath.xml_pairs(of("xml")),
-            "_fast": fast, "_marked": marked, "_slow": slow, "_doc": F.try_parse_json(of("json")),
+            "_kv": F.when(quoted, keyvalue.kv_quoted(kv)).otherwise(split), "_fast": fast, "_marked": marked, "_slow": slow,
+            **{f"_{name}": F.when(open_ & (family == kind), F.col(f"_{name}")) if whole else parse(of(kind)) for kind, (name, parse, _) in WHOLE.items()},
             "_hits": F.pandas_udf(_wildcard_hits, "array<string>")(of("json", F.size(rule["wild"]) > 0), rule["wild"]),
         })
         picked = F.when(F.contains(line, F.lit(rx._MARK)), F.col("_marked")).otherwise(F.when(F.rlike("_fast", F.lit("^" + rx._MARK)), F.split("_fast", rx._MARK)))
@@ -279,6 +282,7 @@ class JoinedRules(RuleSet):
             "_pairs": F.when(family == "kv", F.col("_kv")).when(family == "cef", F.col("_cef")["pairs"]).when(family == "leef", F.col("_leef")["pairs"])
             .when(family == "xml", F.col("_xml")["pairs"]), "_root": F.col("_xml")["root"],
         })
+        df = df.withColumns({f"_{c}": column for c, column in zip(("keys", "last"), last_first(F.col("_pairs")))})
         parse_error = F.coalesce(
             rule["refusal"], F.when(family == "cef", F.col("_cef")["error"]).when(family == "leef", F.col("_leef")["error"]).when(family == "xml", F.col("_xml")["error"])
             .when((family == "regex") & F.col("_groups").isNull(), rx.NO_MATCH).when((family == "json") & F.col("_doc").isNull(), jsonpath.NOT_JSON))
@@ -286,12 +290,12 @@ class JoinedRules(RuleSet):
         def value(o):
             text = F.get(F.col("_groups"), o["number"])
             grouped = F.when(o["optional"], found(F.nullif(text, F.lit("")), present=F.col("_groups").isNotNull())).otherwise(found(text))
-            paired = last_value(F.col("_pairs"), o["key"])
-            below = last_value(F.col("_pairs"), F.concat(F.col("_root"), F.lit("/"), o["key"]))
+            paired = value_at(F.col("_keys"), F.col("_last"), o["key"])
+            below = value_at(F.col("_keys"), F.col("_last"), F.concat(F.col("_root"), F.lit("/"), o["key"]))
             simple = jsonpath.variant_field(F.try_variant_get(F.col("_doc"), o["path"], "variant"))
             wild = jsonpath.variant_field(F.try_parse_json(F.get(F.col("_hits"), o["slot"])))
             return (
-                F.when(family.isin("kv", "cef", "leef"), found(paired)).when(family == "xml", found(F.coalesce(paired, below)))
+                F.when(family.isin("kv", "cef", "leef"), let(paired, lambda v: found(v))).when(family == "xml", let(F.coalesce(paired, below), lambda v: found(v)))
                 .when((family == "regex") & o["number"].isNotNull(), grouped).when(o["path"].isNotNull(), simple).when(o["slot"].isNotNull(), wild).otherwise(absent())
             )
 
@@ -304,17 +308,32 @@ class JoinedRules(RuleSet):
         df = df.withColumn("_error", settle(F.coalesce("_parse_error", self.violation(F.col("_values"), F.col("_fields"), rule["needed"], self.rules))))
         if self.datetime_mode == "exact":
             df = self._exact_dates(df)
-        return df.drop("_kv", "_cef", "_leef", "_xml", "_fast", "_marked", "_slow", "_doc", "_hits", "_groups", "_pairs", "_root", "_parse_error")
+        return df.drop("_kv", "_cef", "_leef", "_xml", "_fast", "_marked", "_slow", "_doc", "_hits", "_groups", "_pairs", "_keys", "_last", "_root", "_parse_error")
 
     # -- discovery -------------------------------------------------------------
 
+    @staticmethod
+    def _whole(df: DataFrame, raw: str) -> DataFrame:
+        """Lines parsed once for all rules of the families that need no rule for it; ``_refused`` names those that cannot."""
+        line = F.col(raw)
+        df = df.withColumns({f"_{name}": parse(F.when(F.contains(line, F.lit(mark)), line)) for name, parse, mark in WHOLE.values()})
+        refused = {
+            "cef": ~F.startswith(line, F.lit("CEF:")) | F.col("_cef")["error"].isNotNull(), "leef": ~F.startswith(line, F.lit("LEEF:")) | F.col("_leef")["error"].isNotNull(),
+            "xml": ~F.contains(line, F.lit("<")) | F.col("_xml")["error"].isNotNull(), "json": F.col("_doc").isNull(),
+        }
+        return df.withColumn("_refused", F.array_compact(F.array(*[F.when(no, F.lit(kind)) for kind, no in refused.items()])))
+
     def passing_pairs(self, df: DataFrame, raw: str, tenant: str | None, keep: list[str]) -> DataFrame:
-        """One row per (row, candidate rule that accepts its line): the columns ``keep`` and ``_number``."""
-        pairs = df.select(*dict.fromkeys([*keep, raw, *([tenant] if tenant else [])]), F.explode(self.index.column(F.col(raw))).alias("_number"))
-        joined = self._with_rule(pairs, "_number", "number")
+        """One row per (row, candidate rule that accepts its line): the columns ``keep`` and ``_number``.
+
+        A line is parsed once a family however many candidates it has, and rules of families that cannot parse it are left at once.
+        """
+        lines = self._whole(df.select(*dict.fromkeys([*keep, raw, *([tenant] if tenant else [])])), raw)
+        pairs = lines.select("*", F.explode(self.index.column(F.col(raw))).alias("_number"))
+        joined = self._with_rule(pairs, "_number", "number").filter(~F.array_contains("_refused", F.col("_rule")["family"]))
         if tenant:
             joined = joined.filter(F.col(tenant) == F.col("_rule")["tenant"])
-        passed = self._parsed(joined, raw).filter(F.col("_error").isNull())
+        passed = self._parsed(joined, raw, whole=True).filter(F.col("_error").isNull())
         if self.require_evidence:
             passed = passed.filter(F.col("_rule")["has_required"] | F.exists("_values", lambda v: v["present"]))
         return passed.select(*keep, "_number")

@@ -98,3 +98,14 @@ def test_two_thousand_rules_plan_in_seconds(spark, batches):
     first = process_batch(events, fx.rule_set(), fx.bindings(spark), fx.sources(spark)).processed
     columns = ["trace_id", "rule_id", "outcome", "payload_json"]
     assert done.select(*columns).exceptAll(first.select(*columns)).isEmpty() and done.count() == first.count()
+
+
+def test_lines_are_parsed_once_for_all_candidates(spark):
+    """Rules of a family that cannot parse the line are left before anything is read for them."""
+    rules = [Rule(f"j{i}@1", f"j{i}", 1, "jsonpath", {"paths": {"a": "$.key"}}, {"a": f"f{i}"}, [f"f{i}"]) for i in range(60)]
+    joined = JoinedRules(rules, spark)
+    rows_ = spark.createDataFrame([(1, '{"key":1}'), (2, '{"key":'), (3, None)], "i int, line string")
+    whole = {r.i: r for r in joined._whole(rows_, "line").collect()}
+    assert "json" not in whole[1]._refused and "json" in whole[2]._refused
+    pairs = joined.passing_pairs(rows_, "line", None, ["i"]).collect()
+    assert sorted((r.i, r._number) for r in pairs) == [(1, n) for n in range(60)]
