@@ -50,3 +50,10 @@ def test_discovery_gates_families(spark):
     gated = rules.prepare(rows, "line", None).orderBy("i").collect()
     kv = rules.slot(next(r for r in rules.rules if r.rule_id == "fw-kv"))
     assert [r[kv]["keys"] is not None for r in gated] == [False, True, False, False, False]
+
+
+def test_one_rule_set_reads_any_version_column(spark):
+    rules = fx.rule_set()
+    for name in ("rv", "rule_version_id"):
+        rows = spark.createDataFrame([("CEF:0|a",)], "line string").withColumn(name, F.lit("gate-cef@1"))
+        assert rules.parse_and_check(rows, "line", name).first()._error == "Invalid CEF format, expected at least 8 pipe-separated fields, got 2"
